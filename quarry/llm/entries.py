@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, quality_rules, sharding
+from . import exact_dedup, licenses, mixing, packing, quality_rules, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_interleave_shards(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_interleave_shards, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_interleave_shards, op6_best_fit_packing, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
 ORACLE = {
     "op4_interleave_shards": sharding.SQL,
     "op8_license_scan": licenses.SQL,
