@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, quality_rules, sharding
+from . import exact_dedup, licenses, mixing, packing, quality_net, quality_rules, sharding, toxicity
 from .common import table
 
 
+def op2_quality_net(spark, sf_dir):
+    return quality_net.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_interleave_shards, op6_best_fit_packing, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_net, op3_quality_rules, op4_interleave_shards, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
 ORACLE = {
     "op4_interleave_shards": sharding.SQL,
     "op8_license_scan": licenses.SQL,
