@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing, packing, quality_net, quality_rules, sharding, toxicity
+from . import exact_dedup, jaccard_join, licenses, mixing, packing, quality_net, quality_rules, sharding, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_interleave_shards(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_net, op3_quality_rules, op4_interleave_shards, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_quality_net, op3_quality_rules, op4_interleave_shards, op5_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
 ORACLE = {
     "op4_interleave_shards": sharding.SQL,
     "op8_license_scan": licenses.SQL,
