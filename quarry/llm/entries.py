@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, licenses, mixing, packing, quality_net, quality_rules, sharding, toxicity
+from . import exact_dedup, jaccard_join, licenses, mixing, packing, quality_net, quality_rules, sharding, substring_dedup, toxicity
 from .common import table
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_net(spark, sf_dir):
     return quality_net.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,7 +46,7 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_net, op3_quality_rules, op4_interleave_shards, op5_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_net, op3_quality_rules, op4_interleave_shards, op5_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
 ORACLE = {
     "op4_interleave_shards": sharding.SQL,
     "op8_license_scan": licenses.SQL,

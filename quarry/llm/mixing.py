@@ -65,28 +65,51 @@ def rake(cells: DataFrame, temper: dict[str, float] | None = None, targets: dict
     return cells.withColumn("keep_probability", F.when(F.col("tokens") > 0, ratio / F.max(ratio).over(every)).otherwise(F.lit(0.0))).select(*DIMENSIONS, "tokens", "weight", "keep_probability")
 
 
+#: Up to so many cells (categories, not rows) are broadcast; beyond it the join shuffles.
+BROADCAST_CELLS = 10_000
+
+
+def _with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """docs with __source, __lang, __topic and __tokens."""
+    df = docs.withColumn("__tokens", F.size(words(F.col(text_col))).cast("long") + 1)
+    return df.withColumns({
+        "__source": F.coalesce(F.col(source_col), F.lit("(none)")),
+        "__lang": F.coalesce(F.col(lang_col), F.lit("(none)")),
+        "__topic": topic_of(F.col(text_col), F.col("__tokens") - 1),
+    })
+
+
+def _fit(counted: DataFrame, temper, targets, rounds) -> DataFrame:
+    """__source, __lang, __topic, __p of every cell, marked for broadcast if they are few."""
+    cells = counted.groupBy(*(F.col(f"__{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("__tokens").cast("double").alias("tokens"))
+    fitted = cut(rake(cells, temper, targets, rounds))
+    fitted = fitted.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.round("keep_probability", 9).alias("__p"))
+    return F.broadcast(fitted) if fitted.count() <= BROADCAST_CELLS else fitted
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, source, lang, topic, n_tokens, keep_probability, kept.
 
     n_tokens counts words plus one for the end of the document, so that empty and null texts have a
     weight too. A null source or language is the category ``(none)``. Equal rows share their fate.
     """
-    n = F.size(words(F.col(text_col)))
-    rows = cut(docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col), F.lit("(none)")).alias("source"),
-        F.coalesce(F.col(lang_col), F.lit("(none)")).alias("lang"),
-        n.cast("long").alias("n"),
-        F.col(text_col).alias("text"),
-    ).withColumn("topic", topic_of(F.col("text"), F.col("n"))).select("doc_id", "source", "lang", "topic", (F.col("n") + 1).alias("n_tokens")))
-    cells = cut(rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("tokens")), temper, targets, rounds))
-    return rows.join(cells.select(*DIMENSIONS, "keep_probability"), list(DIMENSIONS)).select(
-        "doc_id", *DIMENSIONS, "n_tokens",
-        F.round("keep_probability", 9).alias("keep_probability"),
-        (unit_hash(F.col("doc_id"), seed) < F.round("keep_probability", 9)).alias("kept"),
+    only = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__s"), F.col(lang_col).alias("__l"))
+    keys = [f"__{d}" for d in DIMENSIONS]
+    rows = cut(_with_cells(only, "__text", "__s", "__l").select("__id", *keys, "__tokens"))
+    return rows.join(_fit(rows, temper, targets, rounds), keys).select(
+        F.col("__id").alias("doc_id"), *(F.col(f"__{d}").alias(d) for d in DIMENSIONS), F.col("__tokens").alias("n_tokens"),
+        F.col("__p").alias("keep_probability"), (unit_hash(F.col("__id"), seed) < F.col("__p")).alias("kept"),
     )
 
 
+def sample_mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """The rows of docs that mix() keeps, with all columns as they are; texts are not shuffled."""
+    marked = _with_cells(docs, text_col, source_col, lang_col)
+    keys = [f"__{d}" for d in DIMENSIONS]
+    cells = _fit(marked.select(*keys, "__tokens"), temper, targets, rounds)
+    return marked.join(cells, keys).where(unit_hash(F.col(id_col), seed) < F.col("__p")).select(*(docs[c] for c in docs.columns))
+
+
 def _sql() -> str:
     steps = [r"""
 WITH r AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t,
