@@ -33,7 +33,7 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 PREFIX = 32
 #: Sets, and shingles, that a block holds on average.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 16_384, 8_000_000
 LEAF, FAN = 32, 8
 
 _U = np.uint64
