@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Rows that one bucket holds on average; a source with a third of all rows is cut into many.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
+#: So many buckets at most, so that the running sum over bucket counts stays small; beyond it buckets grow.
+MAX_BUCKETS = 200_000
 
 
 def _running(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -44,7 +46,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
         h.alias("h"),
     ))
     total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
+    buckets = max(1, min(MAX_BUCKETS, -(-total // bucket_rows)))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
     rows = rows.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).withColumn("b", bucket)
 
