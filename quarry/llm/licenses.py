@@ -62,14 +62,21 @@ SPELLINGS: list[tuple[str, str]] = [
     (r"\bmerchantibility\b", "merchantability"),
 ]
 
+#: No spelling is more than so many times as long as the one that replaces it.
+SHRINK = 6
+
 #: A copyright line: dropped before hashing.
 COPYRIGHT_LINE = r"(?im)^[^\p{L}\n]*(copyright|copr\.|\(c\)|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, punctuation as blanks, one spelling, single blanks."""
+def plain(text: Column) -> Column:
+    """Lower case, without copyright lines and punctuation, single blanks."""
     t = F.regexp_replace(text, COPYRIGHT_LINE, " ")
-    t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{Nd}]+", " ")
+    return F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{Nd}]+", " "))
+
+
+def respelled(t: Column) -> Column:
+    """One spelling for equivalent ones, in the result of plain()."""
     for pattern, by in SPELLINGS:
         t = F.regexp_replace(t, pattern, by)
     return F.trim(F.regexp_replace(t, " +", " "))
@@ -85,9 +92,9 @@ def canonical_text(text: str) -> str:
 
 
 def known_digests(spark: SparkSession, notices: list[tuple[str, bool, str]] | None = None) -> DataFrame:
-    """digest, license, permissive; one row per distinct canonical notice."""
-    rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): (name, ok) for name, ok, t in notices or NOTICES}
-    return spark.createDataFrame([(d, n, ok) for d, (n, ok) in sorted(rows.items())], "digest string, license string, permissive boolean")
+    """digest, license, permissive, chars; one row per distinct canonical notice."""
+    rows = {hashlib.sha256((c := canonical_text(t)).encode()).hexdigest(): (name, ok, len(c)) for name, ok, t in notices or NOTICES}
+    return spark.createDataFrame([(d, *x) for d, x in sorted(rows.items())], "digest string, license string, permissive boolean, chars int")
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,9 +107,13 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = known if known is not None else known_digests(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.split("text", "\n")
+    longest = SHRINK * (known.agg(F.max("chars")).first()[0] or 0)
     units = F.when(F.size(lines) > 1, F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).otherwise(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))
+    # respelling shortens a text by SHRINK at most: what is still longer can equal no notice
+    units = F.filter(F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), plain(u["unit"]).alias("t"))), lambda u: F.length(u["t"]) <= longest)
+    units = F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), F.sha2(respelled(u["t"]), 256).alias("digest")))
     found = (
-        base.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", F.sha2(canonical(F.col("u.unit")), 256).alias("digest"))
+        base.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", "u.digest")
         .join(F.broadcast(known), "digest")
         .groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("whole").alias("whole_text"), F.min("permissive").alias("ok"))
     )
