@@ -27,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a group holds on average, the groups that exchange at once, and the rounds.
 GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 2
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 200_000
+WORD_MEMORY = 700_000
 
 _tokenizers: dict = {}
 
@@ -39,7 +39,12 @@ def vocabulary_path() -> str:
 
 
 class WordTokenizer:
-    """Ids of a text by a tokenizer that drops blanks: each run between spaces or line ends is encoded once and remembered."""
+    """Ids of a text by a tokenizer that drops blanks: each run between spaces or line ends is encoded once and remembered.
+
+    The tokenizer parts letters from punctuation and lowers case, so that "word", "Word" and "word," share
+    the work: a run's core (ASCII letters lowered, without one closing stop or comma after a letter) is
+    encoded, and the mark's ids are added.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,20 +52,51 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
 
+    def _encode(self, runs: list[str]) -> None:
+        """Encodes runs, joined by spaces, in one call; a token belongs to the run in which it begins."""
+        for k in range(0, len(runs), 4096):
+            part = runs[k : k + 4096]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            raw = np.array(e.ids, "<u4").tobytes()
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            at = (4 * np.searchsorted([o[0] for o in e.offsets], starts)).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, at[:-1], at[1:]))))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, out = self.known, []
-        for text in texts:
-            if len(known) > WORD_MEMORY:
-                known.clear()
-            runs = text.replace("\n", " ").split(" ")
-            new = list({w for w in runs if w not in known})
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, runs)))
-        return out
+        known = self.known
+        if len(known) > WORD_MEMORY:
+            known.clear()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        got = [list(map(known.get, runs)) for runs in split]  # one look-up a word; the rest is for new ones
+        gaps = [_gaps(x) for x in got]
+        cores = {}
+        for runs, at in zip(split, gaps):
+            for i in at:
+                w = runs[i]
+                if w not in cores:
+                    mark = w[-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else ""
+                    core = w[:-1] if mark else w
+                    cores[w] = (core.lower() if core.isascii() else core, mark)
+        if cores:
+            self._encode(list({c for c, _ in cores.values() if c not in known} | {m for m in ".," if m not in known}))
+            for w, (core, mark) in cores.items():
+                known[w] = known[core] + known[mark] if mark else known[core]
+            for runs, x, at in zip(split, got, gaps):
+                for i in at:
+                    x[i] = known[runs[i]]
+        return list(map(b"".join, got))
+
+
+def _gaps(x: list) -> list[int]:
+    """Places of None."""
+    at, i = [], -1
+    try:
+        while True:
+            i = x.index(None, i + 1)
+            at.append(i)
+    except ValueError:
+        return at
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
