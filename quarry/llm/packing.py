@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -100,9 +102,8 @@ def _gaps(x: list) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    gc.disable()  # nothing here makes reference cycles, and the collector would walk the word memory again and again
     tok = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
