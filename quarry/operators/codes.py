@@ -83,4 +83,4 @@ def best_per_product(hits: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id", "external_id").orderBy(F.desc("score"), "token_pos", "pos", "norm")
     out = hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "token_pos", "external_id")
-    return out.withColumn("code_rank", F.row_number().over(rank))
+    return out.withColumn("code_rank", F.row_number().over(rank).cast("long"))

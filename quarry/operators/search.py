@@ -26,12 +26,12 @@ def code_tokens(classified: DataFrame) -> DataFrame:
     return classified.select("query_id", F.posexplode("code_tokens").alias("token_pos", "token")).select("query_id", "token_pos", text.norm_code(F.col("token"), False).alias("token_norm"))
 
 
-def merge(code_hits: DataFrame, hybrid_hits: DataFrame) -> DataFrame:
+def merge(code_hits: DataFrame, hybrid_hits: DataFrame, strong_score: float = STRONG) -> DataFrame:
     """Strong code hits first; then weak code hits and hybrid hits in turn, code first; the first place of a product counts.
 
     code_hits(query_id, external_id, score, code_rank, tier); hybrid_hits(query_id, external_id, score, rank).
     """
-    strong = F.col("score") >= STRONG
+    strong = F.col("score") >= strong_score
     weak_rank = F.row_number().over(Window.partitionBy("query_id", strong).orderBy("code_rank"))
     code = code_hits.withColumn("w", weak_rank).select(
         "query_id", "external_id", "score", F.lit("code").alias("branch"), F.col("score").alias("code_score"), "tier",
@@ -44,7 +44,7 @@ def merge(code_hits: DataFrame, hybrid_hits: DataFrame) -> DataFrame:
     first = Window.partitionBy("query_id", "external_id").orderBy("bucket", "slot")
     one = code.unionByName(hybrid).withColumn("rn", F.row_number().over(first)).where((F.col("rn") == 1) | F.col("external_id").isNull()).drop("rn")
     order = Window.partitionBy("query_id").orderBy("bucket", "slot")
-    return one.withColumn("rank", F.row_number().over(order)).drop("bucket", "slot")
+    return one.withColumn("rank", F.row_number().over(order).cast("long")).drop("bucket", "slot")
 
 
 def page(hits: DataFrame, offset: Column, limit: Column) -> DataFrame:
@@ -61,5 +61,5 @@ def strict_split(hits: DataFrame, limit: Column) -> DataFrame:
     sure = F.when(F.col("branch") == "code", F.col("code_score") >= STRONG).otherwise(F.col("query_coverage") == 1.0)
     maybe = F.when(F.col("branch") == "code", F.lit(True)).otherwise(F.col("query_coverage") >= MIN_ALTERNATIVE)
     out = hits.withColumn("bucket", F.when(sure, "items").when(maybe, "alternatives")).where(F.col("bucket").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy("rank"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "bucket").orderBy("rank")).cast("long")
     return out.withColumn("bucket_rank", rank).where((F.col("bucket") == "items") | (F.col("bucket_rank") <= limit))

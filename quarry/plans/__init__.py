@@ -1 +1,6 @@
+"""The registered queries of the catalog engine and their DuckDB twins."""
 
+from . import code_plans
+
+QUERIES = dict(code_plans.QUERIES)
+ORACLE = dict(code_plans.ORACLE)
