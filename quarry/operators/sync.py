@@ -149,8 +149,7 @@ def first_seen_order(batch: DataFrame) -> DataFrame:
 def evict_jobs(jobs: DataFrame, keep: int = 500) -> DataFrame:
     """The jobs that stay: finished ones go first, the oldest first. jobs(job_id, status, seq)."""
     open_ = ~F.col("status").isin("completed", "failed")
-    w = Window.orderBy(open_.desc(), F.desc("seq"))  # a bounded table of keep + new rows
-    return jobs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep).drop("rn")
+    return jobs.orderBy(open_.desc(), F.desc("seq")).limit(keep)
 
 
 def reap_jobs(jobs: DataFrame) -> DataFrame:
