@@ -12,6 +12,8 @@ FIELDS = ("article", "product_code", "ean13")
 # Scores of the tiers, and the fuzzy tier's rules.
 EXACT, SKELETON, CORRECTED, FUZZY_CAP = 1.0, 0.97, 0.95, 0.949
 STRONG = 0.95
+#: Distinct tokens that go in one block against all codes.
+TOKEN_BLOCK = 4096
 CUTOFF, THRESHOLD, TOP, OSA_WEIGHT, JW_WEIGHT, PER_CHAR, MOST = 0.72, 0.80, 20, 0.6, 0.4, 0.02, 0.10
 
 
@@ -40,25 +42,26 @@ def corrected(tokens: DataFrame, codes: DataFrame) -> DataFrame:
 def fuzzy(tokens: DataFrame, codes: DataFrame) -> DataFrame:
     """Distinct codes near each distinct token.
 
-    Candidates share a pair of neighbouring characters: an equi-join on bigrams, not a comparison of everything. It
-    loses nothing, as an edit or swap spoils three pairs at most and the edits allowed leave one; four characters
-    with the middle swapped share their first one, which stands in as a pair. ``levenshtein`` is a sound prefilter, as a
-    swap costs two of its edits.
+    The stated tokens meet all distinct codes in blocks: TOKEN_BLOCK of them are one array in one broadcast row. The length
+    band and the built-in edit distance come first. As distance / 2 <= restricted distance <= distance, a pair whose best
+    possible similarity is below the TOP-th surest one of its token can't be among the TOP: it never reaches the UDF.
     """
     words = tokens.select("token_norm").distinct()
-    each = codes.select("norm").distinct()
-    pairs = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
-    grams = lambda c: F.array_distinct(F.when(F.length(c) <= 4, F.concat(pairs(c), F.array(F.concat(F.lit("^"), F.substring(c, 1, 1))))).otherwise(pairs(c)))
-    left = words.withColumn("gram", F.explode(grams(F.col("token_norm"))))
-    right = each.withColumn("gram", F.explode(grams(F.col("norm"))))
-    most = F.greatest(F.length("token_norm"), F.length("norm"))
-    allowed = F.floor((1 - CUTOFF) * most + 1e-9).cast("int")
+    n = words.count()
+    blocks = words.groupBy(F.pmod(F.xxhash64("token_norm"), F.lit(max(1, -(-n // TOKEN_BLOCK)))).alias("block")).agg(F.collect_list("token_norm").alias("ts"))
+    allowed = lambda a, b: F.floor((1 - CUTOFF) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
+    norm = F.col("norm")
     near = (
-        left.join(right, "gram")
-        .where(F.abs(F.length("token_norm") - F.length("norm")) <= allowed)
-        .select("token_norm", "norm").distinct()
+        codes.select("norm").distinct().join(F.broadcast(blocks))
+        .select("norm", F.explode(F.filter("ts", lambda t: F.abs(F.length(t) - F.length(norm)) <= allowed(t, norm))).alias("token_norm"))
+        .withColumn("edits", F.levenshtein("token_norm", "norm"))
+        .where(F.col("edits") <= 2 * allowed(F.col("token_norm"), norm))
     )
-    near = near.where(F.expr("levenshtein(token_norm, norm)") <= 2 * allowed)
+    most = F.greatest(F.length("token_norm"), F.length("norm"))
+    sure = Window.partitionBy("token_norm").orderBy(F.desc("low"), "norm")
+    near = near.withColumn("low", 1 - F.col("edits") / most).withColumn("high", 1 - F.ceil(F.col("edits") / 2) / most).withColumn("place", F.row_number().over(sure))
+    bar = F.max(F.when(F.col("place") == TOP, F.col("low"))).over(Window.partitionBy("token_norm"))
+    near = near.withColumn("bar", F.coalesce(bar, F.lit(0.0))).where(F.col("high") >= F.col("bar") - 1e-9).select("token_norm", "norm")
     scored = near.withColumn("s", code_similarity("token_norm", "norm")).where(F.col("s.osa") >= CUTOFF - 1e-12)
     top = Window.partitionBy("token_norm").orderBy(F.desc(F.round("s.osa", 9)), "norm")
     scored = scored.withColumn("rn", F.row_number().over(top)).where(F.col("rn") <= TOP)
