@@ -3,9 +3,10 @@
 1. Whole texts are tokenised once; documents over the capacity are cut into full pieces.
 2. Pieces are dealt into groups of bounded size by a hash. Each group is packed by best-fit
    decreasing over a multiset of lengths.
-3. A dual-feasible-function bound gives the fewest sequences a group can need. Groups that reach it
-   are certified. The loose sequences (those with room) of the others are dealt together, a few groups
-   at a time, and packed again; a repacking is taken only if it saves a sequence.
+3. A dual-feasible-function bound gives the fewest sequences a group, or the whole, can need. A group
+   that reaches its bound is certified. While the whole is above its own bound, the loose sequences
+   (those with room) are dealt together, a few groups at a time, and packed again; a repacking is
+   taken only if it saves a sequence.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a group holds on average, the groups that exchange at once, and the rounds.
-GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 2
+GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 3
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 WORD_MEMORY = 1_000_000
 
@@ -143,10 +144,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The fewest bins, by dual feasible functions: the plain sum, rounding u(k), and thresholds (large, middle, dropped)."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    """The fewest bins that items of these lengths need."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """By dual feasible functions: the plain sum, rounding u(k), and thresholds (large, middle, dropped). count: items per length."""
     size = np.arange(capacity + 1)
     best = -(-int((count * size).sum()) // capacity)
     for k in range(1, 33):
@@ -231,13 +234,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     width = parts_for(docs.sparkSession, n, group_pieces)
     dealt = part.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("long"))
     packed = cut(dealt.repartition(width, "grp").sortWithinPartitions("grp").mapInArrow(partial(_pack, capacity=capacity), SCHEMA))
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in part.groupBy("length").count().collect():  # at most one row per length below the capacity
+        counts[r["length"]] = r["count"]
+    fewest = bound_of_counts(counts, capacity)
     span = 1
     for k in range(rounds):
-        if span >= groups:
+        if span >= groups or packed.select("grp", "bin").distinct().count() <= fewest:
             break
         span *= EXCHANGE
-        loose = packed.where(~F.col("certified") & (F.col("room") > 0)).withColumn("meet", F.floor((F.col("grp") % F.lit(groups)) / span).cast("long"))
-        kept = packed.where(F.col("certified") | (F.col("room") == 0))
+        loose = packed.where(F.col("room") > 0).withColumn("meet", F.floor((F.col("grp") % F.lit(groups)) / span).cast("long"))
+        kept = packed.where(F.col("room") == 0)
         again = loose.repartition(max(width // span, 1), "meet").sortWithinPartitions("meet").mapInArrow(partial(_repack, capacity=capacity, offset=(k + 1) * groups), SCHEMA)
         packed = cut(kept.unionByName(again))
     # a sequence is told by its group and number; places inside it follow the order of its pieces
