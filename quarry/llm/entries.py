@@ -48,7 +48,9 @@ def op10_exact_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_net, op3_quality_rules, op4_interleave_shards, op5_jaccard_join, op6_best_fit_packing, op7_toxicity, op8_license_scan, op9_mix_sources, op10_exact_dedup)}
 ORACLE = {
+    "op1_substring_dedup": substring_dedup.SQL,
     "op4_interleave_shards": sharding.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op8_license_scan": licenses.SQL,
     "op9_mix_sources": mixing.SQL,
     "op10_exact_dedup": exact_dedup.SQL,

@@ -272,3 +272,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     windows = at_pages(anchors).mapInArrow(partial(_deal_windows, buckets=buckets), _DEALT)
     later = bucketed(windows).mapInArrow(_later_windows, _REPLY)
     return at_pages(later).mapInArrow(partial(_kept, with_text=with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+win AS (SELECT doc_id, k, array_to_string(ws[k + 1 : k + 20], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 19)) AS k FROM d)),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, rank() OVER (PARTITION BY s ORDER BY doc_id, k) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(k, k + 20)) AS p FROM later)),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
