@@ -48,7 +48,7 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
-    zip_ = zstandard.ZstdCompressor(level=3)
+    zip_ = zstandard.ZstdCompressor(level=6)
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
             ids = part.column(0)
