@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a group holds on average, the groups that exchange at once, and the rounds.
 GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 3
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 1_000_000
+WORD_MEMORY = 800_000
 
 _tokenizers: dict = {}
 
