@@ -16,7 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
 
     Only rows outside the held-out fold count. The sample is the smallest by a hash of the id, so it
     is the same after a retry. It has 2 * per_class ids at most and is broadcast, so no text is
-    shuffled. An id with several labels counts once, under the largest.
+    shuffled. An id with several labels counts once, under the largest; of rows that repeat an id the
+    smallest text counts, so that the bound holds whatever the ids.
     """
     usable = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(F.col(id_col), folds) != held_fold))
@@ -27,5 +28,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     for k in (0, 1):
         some = usable.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id").select(F.col("__label").alias("label"), "text")
-    return sample, counts
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
+    return sample.groupBy("__id", F.col("__label").alias("label")).agg(F.min("text").alias("text")).select("label", "text"), counts
