@@ -79,11 +79,12 @@ class Page:
         return at[keep], h[keep]
 
 
-def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of the hashes by bucket, and the bounds of each bucket in it."""
+def _by_bucket(h: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Places of the hashes, in their order, for each bucket that has any; the work does not grow with the buckets."""
     b = ((h >> _U(32)) % _U(buckets)).astype(np.int64)
     order = np.argsort(b, kind="stable")
-    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+    present, first = np.unique(b[order], return_index=True)
+    return dict(zip(present.tolist(), np.split(order, first[1:])))
 
 
 _DEALT = "bucket int, page long, kind int, blob binary"
@@ -98,9 +99,7 @@ def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     for batch in batches:
         for number, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
             h = np.unique(Page(blob.as_py()).anchors()[1])
-            order, bounds = _by_bucket(h, buckets)
-            h = h[order]
-            yield _dealt([(b, number, 0, h[bounds[b] : bounds[b + 1]].tobytes()) for b in range(buckets) if bounds[b] < bounds[b + 1]])
+            yield _dealt([(b, number, 0, h[own].tobytes()) for b, own in _by_bucket(h, buckets).items()])
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -161,11 +160,11 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         page = Page(blob)
         at, h = page.anchors()
         different, back, count = np.unique(h, return_inverse=True, return_counts=True)
-        order, bounds = _by_bucket(different, buckets)
+        places = _by_bucket(different, buckets)
         shared = count > 1
         for reply in replies:
             b = int(np.frombuffer(reply, np.int64, 1)[0])
-            own = order[bounds[b] : bounds[b + 1]]
+            own = places[b]
             shared[own] |= np.unpackbits(np.frombuffer(reply, np.uint8, offset=8), count=len(own)).astype(bool)
         marks = np.zeros(len(page.words.hash) + 1, np.int64)
         marks[at[shared[back]] + 1] = 1
@@ -188,12 +187,10 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
             rows.append((number % buckets, number, 1, np.sort(start[order[later]]).astype(np.uint32).tobytes()))
         lead_at = np.sort(order[first])  # back in the order of the page, where differences are small
         lh = wh[lead_at]
-        order, bounds = _by_bucket(lh, buckets)
-        for b in range(buckets):
-            own = lead_at[order[bounds[b] : bounds[b + 1]]]
-            if len(own):
-                small = np.concatenate([np.diff(x[own], prepend=0) for x in (start, ids, place)])
-                rows.append((b, number, 0, np.int64(len(own)).tobytes() + wh[own].tobytes() + zip_.compress(small.astype(np.int64).tobytes())))
+        for b, at_b in _by_bucket(lh, buckets).items():
+            own = lead_at[at_b]
+            small = np.concatenate([np.diff(x[own], prepend=0) for x in (start, ids, place)])
+            rows.append((b, number, 0, np.int64(len(own)).tobytes() + wh[own].tobytes() + zip_.compress(small.astype(np.int64).tobytes())))
         yield _dealt(rows)
 
 
