@@ -5,8 +5,9 @@
    decreasing over a multiset of lengths.
 3. A dual-feasible-function bound gives the fewest sequences a group, or the whole, can need. A group
    that reaches its bound is certified. While the whole is above its own bound, the loose sequences
-   (those with room) are dealt together, a few groups at a time, and packed again; a repacking is
-   taken only if it saves a sequence.
+   (those with room) of several groups are dealt together and packed again; a repacking is taken only
+   if it saves a sequence. How many meet depends on the pieces that are loose, so a task holds
+   EXCHANGE groups' worth of them on average at any size.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from .common import cut, parts_for
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that a group holds on average, the groups that exchange at once, and the rounds.
+#: Pieces that a group holds on average, the groups' worth of loose pieces that meet, and the rounds.
 GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 3
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 WORD_MEMORY = 1_000_000
@@ -238,14 +239,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     for r in part.groupBy("length").count().collect():  # at most one row per length below the capacity
         counts[r["length"]] = r["count"]
     fewest = bound_of_counts(counts, capacity)
-    span = 1
+    meets = groups
     for k in range(rounds):
-        if span >= groups or packed.select("grp", "bin").distinct().count() <= fewest:
+        if meets == 1 or packed.select("grp", "bin").distinct().count() <= fewest:
             break
-        span *= EXCHANGE
-        loose = packed.where(F.col("room") > 0).withColumn("meet", F.floor((F.col("grp") % F.lit(groups)) / span).cast("long"))
+        loose = packed.where(F.col("room") > 0)
+        meets = max(1, -(-loose.count() // (EXCHANGE * group_pieces)))
+        loose = loose.withColumn("meet", F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(meets)).cast("long"))
         kept = packed.where(F.col("room") == 0)
-        again = loose.repartition(max(width // span, 1), "meet").sortWithinPartitions("meet").mapInArrow(partial(_repack, capacity=capacity, offset=(k + 1) * groups), SCHEMA)
+        again = loose.repartition(min(width, meets), "meet").sortWithinPartitions("meet").mapInArrow(partial(_repack, capacity=capacity, offset=(k + 1) * groups), SCHEMA)
         packed = cut(kept.unionByName(again))
     # a sequence is told by its group and number; places inside it follow the order of its pieces
     rows = full.unionByName(packed).withColumn("sequence_id", F.when(F.col("grp") < 0, -1 - F.col("bin")).otherwise(F.col("grp") * F.lit(1 << 32) + F.col("bin")))
