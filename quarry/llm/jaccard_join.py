@@ -6,7 +6,9 @@
    the 32 smallest of the union is shared is at most 0.25 ** 32 = 2 ** -64, the odds at which two
    different shingles share a 64-bit hash, so PREFIX = 32 of them are dealt (None: all).
 3. Hashes with the same members are one group. Large groups are cut by set size (linked sets differ
-   by a third at most) and by a hash into blocks; every pair of blocks that may hold a link meets.
+   by a third at most) and by a hash into blocks, another cut for each group. Blocks are linked alone
+   first: a large group whose members are then in one component already is done with. Of the others
+   every pair of blocks that may hold a link meets.
 4. In a group the sets stand in a signature tree: a node has the OR of its members' token bitmaps
    and their size range. Node pairs are visited from the roots; a pair is left when its largest possible
    overlap is too small, or when all its members are linked already. No list of all pairs is made.
@@ -21,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix64, slices
@@ -35,6 +37,8 @@ PREFIX = 32
 #: Sets, and shingles, that a block holds on average.
 BLOCK_SETS, BLOCK_SHINGLES = 16_384, 8_000_000
 LEAF, FAN = 32, 8
+#: Bytes of bitmaps or shingles that a task reads on average.
+TASK_BYTES = 128 << 20
 
 _U = np.uint64
 
@@ -72,7 +76,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
             s = Sets(data, offsets)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.n.astype(np.int64)), pa.array(s.cls)], names=["doc_id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(s.n.astype(np.int64)), pa.array(s.cls)], names=["doc_id", "text_key", "n", "cls"])
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], prefix: int | None) -> Iterator[pa.RecordBatch]:
@@ -262,15 +266,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cls[far]), pa.array(cls[root[far]])], names=["u", "v"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """u, root for every node of the edges (u, v) but the roots: alternating large and small stars.
 
     Nodes are longs; a component's root is its smallest. Every round is a reduce-by-key and a join, and is
-    cut by a checkpoint; no link leaves the executors but two counters per round.
+    cut by a checkpoint; no link leaves the executors but two counters per round. Rounds go on until
+    nothing changes.
     """
     e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -285,17 +290,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select("u", F.col("v").alias("root"))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int | None = PREFIX) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, n_linked_sets.
+def _dealt(df: DataFrame, key: str, size: Column, payload: DataFrame, fewest: int) -> DataFrame:
+    """df with the payload of each class, sorted by key, in so many partitions that each holds TASK_BYTES on average."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return df.join(payload, "cls").repartition(max(fewest, -(-int(total) // TASK_BYTES)), key).sortWithinPartitions(key)
+
+
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int | None = PREFIX, with_key: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, n_linked_sets and, if asked for, text_key (a hash of the text).
 
     component_id is the smallest id reachable by links, the row's own included; n_linked_sets counts
     the different sets of its component. Null, empty and blank texts have no set and stand alone.
     Repeated rows are in one class; null ids are ignored when the smallest id is sought. An empty
     table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
     text = base.select("text")
-    rows = cut(base.mapInArrow(_classes, "doc_id long, n long, cls long"))
+    rows = cut(base.mapInArrow(_classes, "doc_id long, text_key long, n long, cls long"))
+    keys = ["text_key"] if with_key else []
 
     dealt = cut(text.mapInArrow(partial(_prefixes, prefix=prefix), "token long, cls long, n long"))
     shared = dealt.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("token")
@@ -313,40 +325,51 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = grouped.where(large).withColumn("band", F.explode(F.array(band, band - 1))).select("token", "band", "cls", "n")
     sized = banded.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     sized = sized.select("token", "band", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("k"))
-    blocks = (
-        banded.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("k").cast("long")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "n")
-    )
-    meet = whole.unionByName(blocks)
-    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    cut_up = banded.join(sized, ["token", "band"]).withColumn("own", F.pmod(F.xxhash64("cls", "token"), F.col("k").cast("long")).cast("int"))
+
+    fewest = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     maps = text.mapInArrow(_bitmaps, "cls long, payload binary").dropDuplicates(["cls"])
-    parts = cut(
-        meet.join(maps, "cls").repartition(width, "grp").sortWithinPartitions("grp")
-        .mapInArrow(_refine, "part long, cls long, n long").distinct()
-    )
 
-    needed = rows.join(parts.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    full = base.join(needed.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(_full_sets, "cls long, payload binary").dropDuplicates(["cls"])
-    links = (
-        parts.join(full, "cls").repartition(width, "part").sortWithinPartitions("part")
-        .mapInArrow(_verify, "u long, v long")
-    )
-    of_class = components(links).withColumnRenamed("u", "cls")
+    def linked(meet: DataFrame) -> DataFrame:
+        """The verified links (u, v) within the groups of meet(grp, cls, n), as a forest of stars."""
+        parts = cut(_dealt(meet, "grp", F.col("n") + 64, maps, fewest).mapInArrow(_refine, "part long, cls long, n long").distinct())
+        needed = rows.join(parts.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("needed")).select("needed")
+        full = base.join(needed, base["doc_id"].eqNullSafe(needed["needed"]), "left_semi").select("text").mapInArrow(_full_sets, "cls long, payload binary").dropDuplicates(["cls"])
+        return _dealt(parts, "part", 8 * F.col("n") + 64, full, fewest).mapInArrow(_verify, "u long, v long")
+
+    if grouped.where(large).isEmpty():
+        of_class = components(linked(whole))
+    else:
+        alone = cut_up.select(F.xxhash64("token", "band", "own", "own").alias("grp"), "cls", "n")
+        so_far = components(linked(whole.unionByName(alone)))
+        of = cut_up.join(so_far.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        apart = of.groupBy("token", "band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "band")
+        blocks = (
+            cut_up.join(apart, ["token", "band"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("own <> other")
+            .select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "n")
+        )
+        of_class = components(linked(blocks).unionByName(so_far.withColumnRenamed("root", "v")))
+    of_class = of_class.withColumnRenamed("u", "cls")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     labelled = classes.join(of_class, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lows = labelled.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n_linked_sets"))
     found = cut(labelled.join(lows, "root").select("cls", "component_id", "n_linked_sets"))
-    return rows.where("n > 0").join(found, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_linked_sets").unionByName(
-        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_linked_sets"))
+    return rows.where("n > 0").join(found, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_linked_sets", *keys).unionByName(
+        rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_linked_sets"), *keys)
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each linked class, that of the smallest id; all columns stay as they are."""
-    found = jaccard_classes(docs, id_col, text_col)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    """docs with one document of each linked class, that of the smallest id; all columns stay as they are.
+
+    Rows are told by id and text: where different texts repeat an id, one may go and the other stay. A row
+    with a null id goes if its class has a row with an id. Rows repeated whole stay or go together, and
+    texts without words stay.
+    """
+    found = jaccard_classes(docs, id_col, text_col, with_key=True)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    marked = docs.withColumn("__text_key", F.xxhash64(F.col(text_col)))
+    return marked.join(gone, marked[id_col].eqNullSafe(gone["__id"]) & (marked["__text_key"] == gone["__key"]), "left_anti").drop("__text_key")
 
 
 #: Doubling reaches 64 hops; no shortest path between linked documents of the test tables is as long.

@@ -108,6 +108,36 @@ def test_large_groups_meet_in_blocks(docs, rows, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_one_of_each_tells_rows_by_id_and_text(spark):
+    t = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, t), (5, t + " more"), (5, "a text of its own that nothing else is like"), (None, t + " again"), (None, "another text without any likeness to the rest"), (8, None), (9, " ")]
+    out = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((i or 0, x or "") for k, (i, x) in enumerate(rows) if k not in (1, 3))
+
+
+def test_sample_stays_bounded_when_an_id_repeats(spark):
+    from quarry.llm.sampling import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k:03}") for k in range(50)] + [(2, None), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    sample, counts = labelled_sample(docs, labels, "toxic", 3, 9, 10)
+    assert sorted(tuple(r) for r in sample.collect()) == [(0, "b"), (1, "text 000")] and counts == {0: 1, 1: 1}
+
+
+def test_loose_sequences_of_several_groups_meet(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(k, " ".join(["a"] * rng.randint(20, 120))) for k in range(600)], "doc_id long, text string")
+    got = collect(packing.pack(docs, group_pieces=10, capacity=256))
+    lengths = np.array([r["length"] for r in got])
+    alone = collect(packing.pack(docs, group_pieces=10, capacity=256, rounds=0))
+    count = lambda rows: len({r["sequence_id"] for r in rows})
+    assert packing.lower_bound(lengths, 256) <= count(got) <= count(alone)
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 600 and max(fill.values()) <= 256
+
+
 def test_tree_finds_every_link():
     rng = random.Random(4)
     base = [[rng.getrandbits(63) for _ in range(rng.randint(5, 300))] for _ in range(12)]
