@@ -6,9 +6,10 @@
    the 32 smallest of the union is shared is at most 0.25 ** 32 = 2 ** -64, the odds at which two
    different shingles share a 64-bit hash, so PREFIX = 32 of them are dealt (None: all).
 3. Hashes with the same members are one group. Large groups are cut by set size (linked sets differ
-   by a third at most) and by a hash into blocks, another cut for each group. Blocks are linked alone
-   first: a large group whose members are then in one component already is done with. Of the others
-   every pair of blocks that may hold a link meets.
+   by a third at most) and by a hash into blocks, another cut for each group; every pair of blocks
+   that may hold a link meets. Where that would read a set more than PAIRED times, blocks are linked
+   alone first, and a group whose members are then in one component already is done with: its pairs
+   of blocks have nothing to add.
 4. In a group the sets stand in a signature tree: a node has the OR of its members' token bitmaps
    and their size range. Node pairs are visited from the roots; a pair is left when its largest possible
    overlap is too small, or when all its members are linked already. No list of all pairs is made.
@@ -36,6 +37,8 @@ NUM, DEN = 75, 100
 PREFIX = 32
 #: Sets, and shingles, that a block holds on average.
 BLOCK_SETS, BLOCK_SHINGLES = 16_384, 8_000_000
+#: Blocks of a group that meet in all pairs without being linked alone first, which reads the texts once more.
+PAIRED = 8
 LEAF, FAN = 32, 8
 #: Bytes of bitmaps or shingles that a task reads on average.
 TASK_BYTES = 128 << 20
@@ -337,18 +340,23 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = base.join(needed, base["doc_id"].eqNullSafe(needed["needed"]), "left_semi").select("text").mapInArrow(_full_sets, "cls long, payload binary").dropDuplicates(["cls"])
         return _dealt(parts, "part", 8 * F.col("n") + 64, full, fewest).mapInArrow(_verify, "u long, v long")
 
-    if grouped.where(large).isEmpty():
-        of_class = components(linked(whole))
+    def paired(df: DataFrame) -> DataFrame:
+        """Each set in every pair of blocks that its own is part of."""
+        df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        return df.select("token", "band", "own", "other", F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "n")
+
+    meet = whole.unionByName(paired(cut_up.where(F.col("k") <= PAIRED)).select("grp", "cls", "n"))
+    many = cut_up.where(F.col("k") > PAIRED)
+    if sized.where(F.col("k") > PAIRED).isEmpty():
+        of_class = components(linked(meet))
     else:
-        alone = cut_up.select(F.xxhash64("token", "band", "own", "own").alias("grp"), "cls", "n")
-        so_far = components(linked(whole.unionByName(alone)))
-        of = cut_up.join(so_far.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        apart = of.groupBy("token", "band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "band")
-        blocks = (
-            cut_up.join(apart, ["token", "band"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("own <> other")
-            .select(F.xxhash64("token", "band", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), "cls", "n")
-        )
-        of_class = components(linked(blocks).unionByName(so_far.withColumnRenamed("root", "v")))
+        alone = many.select(F.xxhash64("token", "band", "own", "own").alias("grp"), "cls", "n")
+        of_class = components(linked(meet.unionByName(alone)))
+        of = many.join(of_class.withColumnRenamed("u", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        apart = cut(of.groupBy("token", "band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "band"))
+        if not apart.isEmpty():
+            rest = paired(many.join(apart, ["token", "band"], "left_semi")).where("own <> other").select("grp", "cls", "n")
+            of_class = components(linked(rest).unionByName(of_class.withColumnRenamed("root", "v")))
     of_class = of_class.withColumnRenamed("u", "cls")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     labelled = classes.join(of_class, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

@@ -102,8 +102,10 @@ def test_jaccard_classes(docs, rows, prefix):
     assert got == brute_components(rows)
 
 
-def test_large_groups_meet_in_blocks(docs, rows, monkeypatch):
+@pytest.mark.parametrize("paired", [0, 2, 8])
+def test_large_groups_meet_in_blocks(docs, rows, monkeypatch, paired):
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in collect(jaccard_join.jaccard_classes(docs)))
     assert got == brute_components(rows)
 
