@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Sampled documents that a task of the fit holds on average.
+TASK_DOCS = 125
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the folds."""
@@ -29,4 +32,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
         some = usable.where(F.col("__label") == k).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")
-    return sample.groupBy("__id", F.col("__label").alias("label")).agg(F.min("text").alias("text")).select("label", "text"), counts
+    tasks = -(-2 * per_class // TASK_DOCS)
+    return sample.repartition(tasks, "__id").groupBy("__id", F.col("__label").alias("label")).agg(F.min("text").alias("text")).select("label", "text"), counts
