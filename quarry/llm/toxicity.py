@@ -275,7 +275,6 @@ def _matcher(lexicon: list[tuple[str, bool]], spared: frozenset) -> Matcher:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE) -> Model:
     """Lexicon and layer from at most per_class labelled documents of either class outside the held-out fold."""
     sample, counts = labelled_sample(docs, labels, label_col, FOLDS, HELD_FOLD, per_class, id_col, text_col)
-    sample = cut(sample)  # bounded, and read three times: the documents are scanned once for it
     shown = {k: min(per_class, counts.get(k, 0)) for k in (0, 1)}
     lexicon, spared = learn_lexicon(sample, shown[1], shown[0]) if shown[1] else ([], frozenset())
 

@@ -117,15 +117,6 @@ def test_one_of_each_tells_rows_by_id_and_text(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == sorted((i or 0, x or "") for k, (i, x) in enumerate(rows) if k not in (1, 3))
 
 
-def test_sample_stays_bounded_when_an_id_repeats(spark):
-    from quarry.llm.sampling import labelled_sample
-
-    docs = spark.createDataFrame([(1, f"text {k:03}") for k in range(50)] + [(2, None), (2, "b")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
-    sample, counts = labelled_sample(docs, labels, "toxic", 3, 9, 10)
-    assert sorted(tuple(r) for r in sample.collect()) == [(0, "b"), (1, "text 000")] and counts == {0: 1, 1: 1}
-
-
 def test_loose_sequences_of_several_groups_meet(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(k, " ".join(["a"] * rng.randint(20, 120))) for k in range(600)], "doc_id long, text string")
