@@ -19,6 +19,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
 SEED = 29
+#: A category of a tempered dimension that holds less than this part of the mean share there is rare: it doesn't set the scale.
+RARE = 0.1
 
 
 def topic_of(text: Column, n_words: Column) -> Column:
@@ -44,15 +46,19 @@ def _marginals(cells: DataFrame, temper: dict[str, float], targets: dict[str, di
         else:
             goal = F.pow(share, F.lit(temper[d]))
         cells = cells.withColumn(f"goal_{d}", goal).withColumn("first", F.row_number().over(Window.partitionBy(d).orderBy(*DIMENSIONS)))
-        cells = cells.withColumn(f"goal_{d}", F.col(f"goal_{d}") / F.sum(F.when(F.col("first") == 1, F.col(f"goal_{d}")).otherwise(0.0)).over(every)).drop("first")
+        common = F.lit(True) if d in targets else share * F.sum(F.when(F.col("first") == 1, 1).otherwise(0)).over(every) >= RARE
+        cells = cells.withColumns({f"goal_{d}": F.col(f"goal_{d}") / F.sum(F.when(F.col("first") == 1, F.col(f"goal_{d}")).otherwise(0.0)).over(every), f"common_{d}": common}).drop("first")
     return cells
 
 
 def rake(cells: DataFrame, temper: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens) with weight (share of the mixture) and keep_probability.
 
-    The probability is weight / token share, scaled so that the largest is 1: no document is used
-    twice, and as much of the corpus stays as the targets allow.
+    The probability is weight / token share, scaled so that the largest among cells without a rare
+    category is 1, and 1 at most: no document is used twice, and as much of the corpus stays as the
+    targets of the common categories allow. Cells with a rare category stay whole if their ratio is
+    larger still; they hold at most RARE of the tokens per dimension, so the others always set the
+    scale. Stated targets are met for rare categories, too.
     """
     cells = _marginals(cells.coalesce(1), temper or TEMPER, targets or {})
     every = Window.partitionBy()
@@ -62,7 +68,9 @@ def rake(cells: DataFrame, temper: dict[str, float] | None = None, targets: dict
             now = F.sum("weight").over(Window.partitionBy(d))
             cells = cells.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"goal_{d}") / now).otherwise(F.lit(0.0)))
     ratio = F.col("weight") / F.col("tokens")
-    return cells.withColumn("keep_probability", F.when(F.col("tokens") > 0, ratio / F.max(ratio).over(every)).otherwise(F.lit(0.0))).select(*DIMENSIONS, "tokens", "weight", "keep_probability")
+    common = F.col("common_source") & F.col("common_lang") & F.col("common_topic")
+    scale = F.coalesce(F.max(F.when(common, ratio)).over(every), F.max(ratio).over(every))
+    return cells.withColumn("keep_probability", F.when(F.col("tokens") > 0, F.least(ratio / scale, F.lit(1.0))).otherwise(F.lit(0.0))).select(*DIMENSIONS, "tokens", "weight", "keep_probability")
 
 
 #: Up to so many cells (categories, not rows) are broadcast; beyond it the join shuffles.

@@ -234,6 +234,15 @@ def test_mixture_meets_its_targets(docs, rows):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in collect(kept)) == sorted(r["doc_id"] for r in out if r["kept"])
 
 
+def test_a_stray_row_does_not_set_the_scale(spark):
+    cells = [(f"s{a}", lg, tp, float(1000 * (a + b + c + 3))) for a in range(4) for b, lg in enumerate(("en", "de")) for c, tp in enumerate(("article", "brief"))]
+    shape = "source string, lang string, topic string, tokens double"
+    plain, stray = (collect(mixing.rake(spark.createDataFrame(x, shape))) for x in (cells, [*cells, ("(none)", "(none)", "brief", 1.0)]))
+    share = lambda got: sum(r["tokens"] * r["keep_probability"] for r in got) / sum(r["tokens"] for r in got)
+    assert abs(share(stray) - share(plain)) < 0.02 and share(plain) > 0.5
+    assert [r["keep_probability"] for r in stray if r["source"] == "(none)"] == [1.0] == [max(r["keep_probability"] for r in stray)]
+
+
 # ---- quality, toxicity, licences
 
 
