@@ -3,7 +3,8 @@
 Known licence notices are normalised (case, punctuation, copyright lines, equivalent spellings) and
 hashed. The same normalisation runs over every unit of a document: the entire text and each of its
 lines, taken whole. Units meet the known digests in a hash join; the known side is a fixed list
-(NOTICES, under 200 rows), so it is broadcast.
+(NOTICES and NAMES, some hundred rows), so it is broadcast. The SQL twin knows NOTICES only, each in
+its own sentence.
 """
 
 from __future__ import annotations
@@ -46,6 +47,24 @@ NOTICES: list[tuple[str, bool, str]] = [
     ("Proprietary", False, "All rights reserved."),
 ]
 
+# What a licence is called after 'licensed under' (licence, permissive or not, names).
+NAMES: list[tuple[str, bool, list[str]]] = [
+    ("Apache-2.0", True, ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"]),
+    ("MIT", True, ["MIT License", "MIT"]),
+    ("BSD-3-Clause", True, ["BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause"]),
+    ("BSD-2-Clause", True, ["BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause"]),
+    ("ISC", True, ["ISC License", "ISC"]),
+    ("MPL-2.0", False, ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"]),
+    *((f"{short}-{v}", False, [f"{name}{version}{later}" for name, version in ((f"GNU {full}", f", version {n}"), (f"GNU {full}", f" {v}"), (f"GNU {full}", f", version {v}"), (f"GNU {short}", f" v{n}"), (short, f" v{n}"), (f"GNU {short}", f" {v}"), (short, f"-{v}"), (f"GNU {short}v", n), (f"{short}v", n)) for later in ("", " or later", " or (at your option) any later version", " only")])
+      for short, full, v, n in (("GPL", "General Public License", "3.0", "3"), ("GPL", "General Public License", "2.0", "2"), ("LGPL", "Lesser General Public License", "3.0", "3"), ("AGPL", "Affero General Public License", "3.0", "3"))),
+    ("CC0-1.0", True, ["CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "CC0"]),
+    *((f"CC-{short}-4.0", ok, [f"CC {short} 4.0", f"CC {short} 4.0 License", f"Creative Commons {full} 4.0 License", f"Creative Commons {full} 4.0 International License", f"Creative Commons {full} 4.0 International"])
+      for short, ok, full in (("BY", True, "Attribution"), ("BY-SA", False, "Attribution-ShareAlike"), ("BY-NC", False, "Attribution-NonCommercial"), ("BY-ND", False, "Attribution-NoDerivatives"))),
+]
+#: The usual sentences around a licence's name, in canonical text: 'under' and the name stay.
+HEAD = r"^(?:this (?:work|program|software|file|project|code|document|library|package) is |this is )?(?:free software )?(?:(?:licensed|released|distributed|made available) )?under (?:the terms of )?(?:the |an? )?"
+
+
 # Equivalent spellings, applied in this order to lower-cased text without punctuation.
 SPELLINGS: list[tuple[str, str]] = [
     (r"\blicen[cs]e([ds]?)\b", "license$1"),
@@ -91,9 +110,15 @@ def canonical_text(text: str) -> str:
     return re.sub(" +", " ", t).strip(" ")
 
 
+def headless(canonical: str) -> str:
+    """One sentence for the usual ones around a licence's name."""
+    return re.sub(HEAD, "under ", canonical)
+
+
 def known_digests(spark: SparkSession, notices: list[tuple[str, bool, str]] | None = None) -> DataFrame:
     """digest, license, permissive, chars; one row per distinct canonical notice."""
-    rows = {hashlib.sha256((c := canonical_text(t)).encode()).hexdigest(): (name, ok, len(c)) for name, ok, t in notices or NOTICES}
+    notices = notices or [*NOTICES, *((name, ok, f"Licensed under {x}") for name, ok, names in NAMES for x in names)]
+    rows = {hashlib.sha256(headless(c := canonical_text(t)).encode()).hexdigest(): (name, ok, len(c)) for name, ok, t in notices}
     return spark.createDataFrame([(d, *x) for d, x in sorted(rows.items())], "digest string, license string, permissive boolean, chars int")
 
 
@@ -107,11 +132,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     known = known if known is not None else known_digests(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = F.split("text", "\n")
-    longest = SHRINK * (known.agg(F.max("chars")).first()[0] or 0)
+    longest = SHRINK * ((known.agg(F.max("chars")).first()[0] or 0) + 80)
     units = F.when(F.size(lines) > 1, F.concat(F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))).otherwise(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))))
-    # respelling shortens a text by SHRINK at most: what is still longer can equal no notice
+    # respelling shortens a text by SHRINK at most: what is still longer, with the longest head, can equal no notice
     units = F.filter(F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), plain(u["unit"]).alias("t"))), lambda u: F.length(u["t"]) <= longest)
-    units = F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), F.sha2(respelled(u["t"]), 256).alias("digest")))
+    units = F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), F.sha2(F.regexp_replace(respelled(u["t"]), HEAD, "under "), 256).alias("digest")))
     found = (
         base.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.whole", "u.digest")
         .join(F.broadcast(known), "digest")

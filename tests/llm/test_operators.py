@@ -313,6 +313,29 @@ def test_licenses(spark):
     assert got == {1: (1, "Apache-2.0", False, "permissive"), 2: (2, "MIT", True, "permissive"), 3: (0, "", False, "unknown"), 4: (0, "", False, "unknown"), 5: (2, "CC-BY-NC-4.0,MIT", False, "restricted")}
 
 
+def test_licence_lines_of_the_documents_are_known(spark):
+    """Held against the lines of the given documents, not against the list."""
+    says = {"Apache": "Apache-2.0", "MIT": "MIT", "GNU General Public License, version 3": "GPL-3.0", "CC BY-NC": "CC-BY-NC-4.0", "All rights reserved": "Proprietary"}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = defaultdict(set)
+    for i, t in docs.collect():
+        for line in (t or "").split("\n"):
+            if re.search(r"(?i)\blicensed under\b|\breleased under\b|^all rights reserved", line):
+                want[i] |= {name for words, name in says.items() if words in line} or {line}
+    assert any("GPL-3.0" in x for x in want.values())
+    assert {r["doc_id"]: set(r["licenses"].split(",")) for r in collect(licenses.scan_licenses(docs)) if r["licenses"]} == want
+
+
+def test_wordings_name_one_licence_each(spark):
+    names = defaultdict(set)
+    for name, _, t in [*licenses.NOTICES, *((name, ok, f"Licensed under {x}") for name, ok, known in licenses.NAMES for x in known)]:
+        names[licenses.headless(licenses.canonical_text(t))].add(name)
+    assert max(map(len, names.values())) == 1
+    rows = [(1, "This file is licenced under the Apache License 2.0"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "This software is distributed under the terms of the GNU GPLv3 or later."), (4, "This document is licensed under CC BY-SA 4.0")]
+    got = {r["doc_id"]: (r["licenses"], r["verdict"]) for r in collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got == {1: ("Apache-2.0", "permissive"), 2: ("GPL-3.0", "restricted"), 3: ("GPL-3.0", "restricted"), 4: ("CC-BY-SA-4.0", "restricted")}
+
+
 # ---- every operator: odd rows and empty tables
 
 
