@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +70,13 @@ def test_substring_dedup_texts(docs):
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_rows_that_repeat_an_id_lose_a_passage_of_another_page(spark):
+    t = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, t), (9, "x"), (5, t), (5, t)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring_dedup.drop_repeats(docs).collect()) == brute_repeats(rows)
+
+
 def test_difference_cover():
     differences = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
     assert differences == set(range(substring_dedup.PERIOD))
@@ -336,6 +344,16 @@ def test_wordings_name_one_licence_each(spark):
     assert got == {1: ("Apache-2.0", "permissive"), 2: ("GPL-3.0", "restricted"), 3: ("GPL-3.0", "restricted"), 4: ("CC-BY-SA-4.0", "restricted")}
 
 
+def test_licence_texts_and_broken_headers(spark):
+    mit = next("\n\n".join(p) for name, _, _, p in licenses.TEXTS if name == "MIT")
+    bsd = next("\n\n".join(p) for name, _, _, p in licenses.TEXTS if name == "BSD-3-Clause")
+    apache = "# Copyright 2020 X\n#\n# Licensed under the Apache License,\n# Version 2.0 (the \"License\"); you may not use this file\n# except in compliance with the License. You may obtain a copy of the\n# License at\n#\n#   http://www.apache.org/licenses/LICENSE-2.0\n\nimport os"
+    rows = [(1, "The MIT License (MIT)\n\nCopyright (c) 2020 X\n\n" + textwrap.fill(mit.replace("\n\n", "@@"), 10_000).replace("@@", "\n\n")), (2, "Copyright 2021 Y\n" + bsd), (3, apache), (4, "Some code\n\n" + textwrap.fill(mit.split("\n\n")[0], 70) + "\n\nmore"), (5, mit + " and more")]
+    got = {r["doc_id"]: (r["licenses"], r["whole_text"], r["verdict"]) for r in collect(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert got[1] == ("MIT", True, "permissive") and got[2] == ("BSD-3-Clause", True, "permissive")
+    assert got[3] == ("Apache-2.0", False, "permissive") and got[4] == ("MIT", False, "permissive") and not got[5][1]
+
+
 # ---- every operator: odd rows and empty tables
 
 
