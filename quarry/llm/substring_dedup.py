@@ -181,11 +181,11 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         first = np.ones(len(order), bool)
         first[1:] = s_h[1:] != s_h[:-1]
         lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        later = (s_id > s_id[lead]) | ((s_id == s_id[lead]) & (s_at > s_at[lead]))
+        tied = (s_id == s_id[lead]) & (s_at == s_at[lead])  # the lead, and rows that repeat its id
         rows = []
-        if later.any():  # repeats within the page need no bucket
-            rows.append((number % buckets, number, 1, np.sort(start[order[later]]).astype(np.uint32).tobytes()))
-        lead_at = np.sort(order[first])  # back in the order of the page, where differences are small
+        if not tied.all():  # repeats within the page need no bucket
+            rows.append((number % buckets, number, 1, np.sort(start[order[~tied]]).astype(np.uint32).tobytes()))
+        lead_at = np.sort(order[tied])  # back in the order of the page, where differences are small
         lh = wh[lead_at]
         for b, at_b in _by_bucket(lh, buckets).items():
             own = lead_at[at_b]
