@@ -5,15 +5,17 @@
    decreasing over a multiset of lengths.
 3. A dual-feasible-function bound gives the fewest sequences a group, or the whole, can need. A group
    that reaches its bound is certified. While the whole is above its own bound, the loose sequences
-   (those with room) of several groups are dealt together and packed again; a repacking is taken only
-   if it saves a sequence. How many meet depends on the pieces that are loose, so a task holds
-   EXCHANGE groups' worth of them on average at any size.
+   (those with room) of several groups are dealt together as a new group and packed again; a repacking
+   is taken only if it saves a sequence. Rounds go on until the whole reaches its bound, one round saves
+   nothing, or all loose sequences have met. How many meet depends on the pieces that are loose, so a
+   task holds EXCHANGE groups' worth of them on average at any size.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import string
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -28,11 +30,12 @@ from .common import cut, parts_for
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that a group holds on average, the groups' worth of loose pieces that meet, and the rounds.
-GROUP_PIECES, EXCHANGE, ROUNDS = 16_384, 8, 3
+#: Pieces that a group holds on average, and the groups' worth of loose pieces that meet.
+GROUP_PIECES, EXCHANGE = 16_384, 8
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
 WORD_MEMORY = 1_000_000
 
+_LETTERS = frozenset(string.ascii_letters)
 _tokenizers: dict = {}
 
 
@@ -45,9 +48,10 @@ def vocabulary_path() -> str:
 class WordTokenizer:
     """Ids of a text by a tokenizer that drops blanks: each run between spaces or line ends is encoded once and remembered.
 
-    The tokenizer parts letters from punctuation and lowers case, so that "word", "Word" and "word," share
-    the work: a run's core (ASCII letters lowered, without one closing stop or comma after a letter) is
-    encoded, and the mark's ids are added.
+    The tokenizer parts ASCII letters from punctuation and lowers case, so that "word", "Word" and "word,"
+    share the work: a run's core (lowered if it is ASCII, without one closing stop or comma after an ASCII
+    letter) is encoded, and the mark's ids are added. Behind any other letter the mark stays: folding may
+    end that letter in a combining mark, which the tokenizer joins with the punctuation.
     """
 
     def __init__(self, path: str):
@@ -79,7 +83,7 @@ class WordTokenizer:
             for i in at:
                 w = runs[i]
                 if w not in cores:
-                    mark = w[-1] if len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else ""
+                    mark = w[-1] if len(w) > 1 and w[-1] in ".," and w[-2] in _LETTERS else ""
                     core = w[:-1] if mark else w
                     cores[w] = (core.lower() if core.isascii() else core, mark)
         if cores:
@@ -105,8 +109,17 @@ def _gaps(x: list) -> list[int]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    gc.disable()  # nothing here makes reference cycles, and the collector would walk the word memory again and again
     tok = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
+    collecting = gc.isenabled()
+    gc.disable()  # nothing here makes reference cycles, and the collector would walk the word memory again and again
+    try:
+        yield from _encoded(batches, tok, capacity)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], tok: WordTokenizer, capacity: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             rows = batch.slice(k, 256)
@@ -201,25 +214,25 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Recor
 
 
 def _repack(batches: Iterator[pa.RecordBatch], capacity: int, offset: int) -> Iterator[pa.RecordBatch]:
-    """The loose sequences of several groups, packed anew if that saves one."""
+    """The loose sequences of several groups as one new group, packed anew if that saves one."""
     for t in _groups(batches, "meet"):
-        grp, old, lengths = t["grp"].to_numpy(), t["bin"].to_numpy(), t["length"].to_numpy()
-        before = len(np.unique(np.stack([grp, old], 1), axis=0))
+        lengths = t["length"].to_numpy()
+        _, old = np.unique(np.stack([t["grp"].to_numpy(), t["bin"].to_numpy()], 1), axis=0, return_inverse=True)
+        old = old.ravel()
         bins = best_fit_decreasing(lengths, capacity)
-        after = int(bins.max()) + 1
-        if after < before:
-            new = np.full(len(bins), t["meet"][0].as_py() + offset)
-            yield _with_bins(t, new, bins, capacity, np.full(len(bins), after == lower_bound(lengths, capacity)))
-        else:
-            yield _with_bins(t, grp, old, capacity, np.full(len(bins), before == lower_bound(lengths, capacity)))
+        if bins.max() >= old.max():
+            bins = old.astype(np.int64)
+        sure = int(bins.max()) + 1 == lower_bound(lengths, capacity)
+        yield _with_bins(t, np.full(len(bins), t["meet"][0].as_py() + offset), bins, capacity, np.full(len(bins), sure))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, exchange: bool = True) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified.
 
-    certified tells that the piece's group is known to need no fewer sequences. A null text is
-    packed as an empty one: the end id alone. Rows that repeat an id are packed each for itself. An
-    empty table gives an empty result. Columns other than the id and the text are not read.
+    certified tells that the sequences of the piece's group are known to be as few as its pieces need;
+    full sequences are a group of their own. A null text is packed as an empty one: the end id alone.
+    Rows that repeat an id are packed each for itself. Texts of any length are tokenised whole. An empty
+    table gives an empty result. Columns other than the id and the text are not read.
     """
     path = path or vocabulary_path()
     pieces = cut(
@@ -239,16 +252,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     for r in part.groupBy("length").count().collect():  # at most one row per length below the capacity
         counts[r["length"]] = r["count"]
     fewest = bound_of_counts(counts, capacity)
-    meets = groups
-    for k in range(rounds):
-        if meets == 1 or packed.select("grp", "bin").distinct().count() <= fewest:
-            break
+    sequences = lambda: packed.select("grp", "bin").distinct().count()
+    now, meets, offset = sequences() if exchange and groups > 1 else fewest, groups, groups
+    while meets > 1 and now > fewest:
         loose = packed.where(F.col("room") > 0)
         meets = max(1, -(-loose.count() // (EXCHANGE * group_pieces)))
-        loose = loose.withColumn("meet", F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(meets)).cast("long"))
-        kept = packed.where(F.col("room") == 0)
-        again = loose.repartition(min(width, meets), "meet").sortWithinPartitions("meet").mapInArrow(partial(_repack, capacity=capacity, offset=(k + 1) * groups), SCHEMA)
-        packed = cut(kept.unionByName(again))
+        loose = loose.withColumn("meet", F.pmod(F.xxhash64("grp", F.lit(offset)), F.lit(meets)).cast("long"))
+        kept = packed.where(F.col("room") == 0).withColumn("certified", F.lit(True))
+        again = loose.repartition(min(width, meets), "meet").sortWithinPartitions("meet").mapInArrow(partial(_repack, capacity=capacity, offset=offset), SCHEMA)
+        packed, offset, before = cut(kept.unionByName(again)), offset + meets, now
+        now = sequences()
+        if now >= before:
+            break
     # a sequence is told by its group and number; places inside it follow the order of its pieces
     rows = full.unionByName(packed).withColumn("sequence_id", F.when(F.col("grp") < 0, -1 - F.col("bin")).otherwise(F.col("grp") * F.lit(1 << 32) + F.col("bin")))
     before = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "doc_id", "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
