@@ -16,10 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; set one only where none is set (tests)."""
+    """Use the folder in spark.checkpoint.dir. Where none is set, a local session gets a temporary one; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quarry-ckpt-")
+        sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,3 +47,13 @@ def unit_hash(key: Column, seed: int) -> Column:
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
     """Partitions so that each holds at most per_part rows, and no fewer than the session's shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_part))
+
+
+#: Rows that are broadcast at most: some tens of megabytes of ids and hashes.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, cut, and marked for broadcast if its counted rows are few; beyond that joins shuffle. For narrow rows of fixed width."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
