@@ -7,7 +7,8 @@ fractional rank and cutting into equal runs gives every shard the corpus mixture
 No rank is taken over a whole source or the whole table in one task: rows are first counted per
 (source, hash bucket) and per (rank bucket), running sums over those small count tables give each
 bucket its offset, and the exact rank is the offset plus the rank inside a bucket. The number of
-buckets grows with the rows, so buckets keep their size.
+buckets grows with the rows, so buckets keep their size. The running sum over the rank buckets is one
+task's work on one row per BUCKET_ROWS rows: 100 TB of 2 kB documents make 50 million rows of 16 bytes.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from .common import cut
 
 #: Rows that one bucket holds on average; a source with a third of all rows is cut into many.
 BUCKET_ROWS = 1024
-#: So many buckets at most, so that the running sum over bucket counts stays small; beyond it buckets grow.
-MAX_BUCKETS = 200_000
 
 
 def _running(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -34,7 +33,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
 
     Law ``rows``: shard sizes differ by one at most; slots are 0.. without gaps in the interleaved
     order. A null text has no bytes, a null source is a source of its own, null ids hash as one key;
-    repeated rows are interchangeable. An empty table gives an empty result.
+    repeated rows are interchangeable. Texts of any length count whole. An empty table gives an empty
+    result. Other columns, whatever their names, are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -46,7 +46,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
         h.alias("h"),
     ))
     total = rows.count()
-    buckets = max(1, min(MAX_BUCKETS, -(-total // bucket_rows)))
+    buckets = max(1, -(-total // bucket_rows))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
     rows = rows.withColumn("source", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))).withColumn("b", bucket)
 
