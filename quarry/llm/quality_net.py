@@ -20,8 +20,8 @@ from .blocks import slices
 from .sampling import fold, labelled_sample
 
 WIDTH, FILTERS, BLOCK = 8, 16, 128
-#: Documents of either class, and chunks spread evenly over each document, that the fit reads.
-SAMPLE, SAMPLE_CHUNKS = 750, 12
+#: Documents of either class that the fit reads, and the bytes that they hold at most; texts are whole.
+SAMPLE, SAMPLE_BYTES = 750, 8 << 20
 EPOCHS, BATCH, RATE, DECAY = 8, 50, 0.02, 1e-4
 THRESHOLD = 0.3
 FOLDS, HELD_FOLD = 5, 0
@@ -65,24 +65,19 @@ def document_features(data: np.ndarray, offsets: np.ndarray, table: np.ndarray)
     return np.concatenate([top, mean, low], axis=1)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """label and SAMPLE_CHUNKS chunks spread over each text."""
-    size = 2 * BLOCK + WIDTH - 1
-    for batch in batches:
-        labels, out = batch.column(0).to_pylist(), []
-        for text in batch.column(1).to_pylist():
-            b = (text or "").encode()
-            n = max(1, -(-len(b) // BLOCK) - 1)
-            at = np.unique(np.linspace(0, n - 1, min(n, SAMPLE_CHUNKS)).astype(int))
-            out.append(b"".join(b[k * BLOCK : k * BLOCK + size].ljust(size, b"\0") for k in at.tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], names=["label", "chunks"])
+def chunks_of(text: str) -> np.ndarray:
+    """All overlapping chunks of a text, a row each, with the bytes that the last places of a filter read."""
+    b = np.frombuffer(text.encode(), np.uint8)
+    n = max(1, -(-len(b) // BLOCK) - 1)
+    x = np.zeros((n + 1) * BLOCK + WIDTH - 1, np.uint8)
+    x[: len(b)] = b
+    return np.lib.stride_tricks.sliding_window_view(x, 2 * BLOCK + WIDTH - 1)[::BLOCK][:n]
 
 
-def fit(rows: list[tuple[int, bytes]], prior: dict[int, int], seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
-    """Filters, weights and bias; rows: label and chunk bytes, the same number of either class or nearly."""
+def fit(rows: list[tuple[int, str]], prior: dict[int, int], seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Filters, weights and bias; rows: label and whole text, the same number of either class or nearly."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    size = 2 * BLOCK + WIDTH - 1
-    xs = [np.frombuffer(b, np.uint8).reshape(-1, size) for _, b in rows]
+    xs = [chunks_of(t) for _, t in rows]
     y = np.array([k for k, _ in rows], np.float32)
     params = [rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), rng.normal(0, 0.1, 3 * FILTERS).astype(np.float32), np.zeros(1, np.float32)]
     m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -132,12 +127,13 @@ def fit(rows: list[tuple[int, bytes]], prior: dict[int, int], seed: int = 5) ->
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Scores read the text alone. The fit reads at most per_class labelled rows of either class outside
-    the held-out fold; without labels the untrained layer's score stands. Null and empty texts get
-    the score of a document of zero bytes; repeated rows get equal scores.
+    Scores read the text alone, all its chunks whatever its length. The fit reads at most per_class
+    labelled documents of either class outside the held-out fold, whole, with SAMPLE_BYTES a class;
+    without labels the untrained layer's score stands. Null and empty texts get the score of a document
+    of zero bytes; repeated rows get equal scores. Other columns, whatever their names, are not read.
     """
-    sample, prior = labelled_sample(docs, labels, label_col, FOLDS, HELD_FOLD, per_class, id_col, text_col)
-    rows = [(r["label"], bytes(r["chunks"])) for r in sample.mapInArrow(_chunks, "label int, chunks binary").collect()]  # bounded: 2 * per_class rows of SAMPLE_CHUNKS chunks
+    sample, prior = labelled_sample(docs, labels, label_col, FOLDS, HELD_FOLD, per_class, id_col, text_col, SAMPLE_BYTES)
+    rows = [(r["label"], r["text"]) for r in sample.collect()]  # bounded: 2 * per_class rows, 2 * SAMPLE_BYTES
     table, w, b = fit(sorted(rows), prior)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
