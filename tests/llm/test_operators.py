@@ -110,14 +110,6 @@ def test_jaccard_classes(docs, rows, prefix):
     assert got == brute_components(rows)
 
 
-@pytest.mark.parametrize("paired", [0, 2, 8])
-def test_large_groups_meet_in_blocks(docs, rows, monkeypatch, paired):
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 3)
-    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in collect(jaccard_join.jaccard_classes(docs)))
-    assert got == brute_components(rows)
-
-
 def test_one_of_each_tells_rows_by_id_and_text(spark):
     t = " ".join(f"w{k}" for k in range(60))
     rows = [(3, t), (5, t + " more"), (5, "a text of its own that nothing else is like"), (None, t + " again"), (None, "another text without any likeness to the rest"), (8, None), (9, " ")]
@@ -139,25 +131,6 @@ def test_loose_sequences_of_several_groups_meet(spark):
     assert len(got) == 600 and max(fill.values()) <= 256
 
 
-def test_tree_finds_every_link():
-    rng = random.Random(4)
-    base = [[rng.getrandbits(63) for _ in range(rng.randint(5, 300))] for _ in range(12)]
-    sets = []
-    for _ in range(150):
-        s = list(rng.choice(base))
-        for _ in range(rng.randint(0, len(s) // 4)):
-            s[rng.randrange(len(s))] = rng.getrandbits(63)
-        sets.append(np.unique(np.array(s, np.uint64)))
-    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
-    got = jaccard_join.link_group(np.array([len(s) for s in sets]), [jaccard_join.bitmap(s) for s in sets], linked)
-    want = jaccard_join.Union(len(sets))
-    for a in range(len(sets)):
-        for b in range(a):
-            if linked(a, b):
-                want.join(a, b)
-    assert (got == want.roots()).all()
-
-
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = dict(tuple(r) for r in jaccard_join.components(edges).collect())
