@@ -1,11 +1,11 @@
-"""Scalar text functions as Column expressions; one Arrow UDF (NFKC), fed non-ASCII values only."""
+"""Scalar text functions as Column expressions; Arrow UDFs for one thing (NFKC), fed non-ASCII values only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Cyrillic capitals and the Latin letters they look like.
 HOMOGLYPHS = ("АВЕЁІЇКМНОРСТУХ", "ABEEIIKMHOPCTYX")
@@ -38,6 +38,19 @@ def nfkc(c: Column) -> Column:
     return F.when(odd, _nfkc(F.when(odd, c))).otherwise(c)
 
 
+@pandas_udf(ArrayType(StringType()))
+def _nfkc_each(values):
+    import unicodedata
+
+    return values.map(lambda v: None if v is None else [unicodedata.normalize("NFKC", x) for x in v])
+
+
+def nfkc_each(c: Column) -> Column:
+    """The compatibility form of each string of an array."""
+    odd = F.exists(c, lambda x: x.rlike(r"[^\x00-\x7F]"))
+    return F.when(odd, _nfkc_each(F.when(odd, c))).otherwise(c)
+
+
 def compact(c: Column, unicode: bool = True) -> Column:
     """Compatibility form, upper case, separators deleted."""
     return F.regexp_replace(F.upper(nfkc(c) if unicode else c), "(?U)" + SEPARATORS, "")
@@ -117,7 +130,7 @@ def sparse_text(dense: Column, codes: list[Column], title: Column | None = None,
     parts = [dense]
     for code in codes:
         parts.append(F.nullif(code, F.lit("")))
-        parts.append(F.when((norm_code(code, False) != code) & (norm_code(code, False) != ""), norm_code(code, False)))
+        parts.append(F.when((norm_code(code) != code) & (norm_code(code) != ""), norm_code(code)))
     if title is not None:
         parts.append(F.nullif(title, F.lit("")))
     if synonyms is not None:

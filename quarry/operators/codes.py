@@ -21,7 +21,7 @@ def code_index(catalog: DataFrame) -> DataFrame:
     """external_id, field, raw, norm, skel: one row per product and filled code."""
     pairs = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f).alias("field"), F.col(f).alias("raw")) for i, f in enumerate(FIELDS)])
     one = catalog.select("external_id", F.explode(pairs).alias("c")).select("external_id", "c.*")
-    one = one.where(F.col("raw").isNotNull()).withColumn("norm", text.norm_code(F.col("raw"), False)).where(F.col("norm") != "")
+    one = one.where(F.col("raw").isNotNull()).withColumn("norm", text.norm_code(F.col("raw"))).where(F.col("norm") != "")
     return one.withColumn("skel", text.skeleton(F.col("norm")))
 
 
@@ -47,16 +47,19 @@ def fuzzy(tokens: DataFrame, codes: DataFrame) -> DataFrame:
     possible similarity is below the TOP-th surest one of its token can't be among the TOP: it never reaches the UDF.
     """
     words = tokens.select("token_norm").distinct()
-    n = words.count()
-    blocks = words.groupBy(F.pmod(F.xxhash64("token_norm"), F.lit(max(1, -(-n // TOKEN_BLOCK)))).alias("block")).agg(F.collect_list("token_norm").alias("ts"))
+    n = max(1, -(-words.count() // TOKEN_BLOCK))
     allowed = lambda a, b: F.floor((1 - CUTOFF) * F.greatest(F.length(a), F.length(b)) + 1e-9).cast("int")
-    norm = F.col("norm")
-    near = (
-        codes.select("norm").distinct().join(F.broadcast(blocks))
-        .select("norm", F.explode(F.filter("ts", lambda t: F.abs(F.length(t) - F.length(norm)) <= allowed(t, norm))).alias("token_norm"))
-        .withColumn("edits", F.levenshtein("token_norm", "norm"))
-        .where(F.col("edits") <= 2 * allowed(F.col("token_norm"), norm))
-    )
+    norm, near = F.col("norm"), None
+    different = codes.select("norm").distinct()
+    for k in range(n):  # one broadcast row of TOKEN_BLOCK tokens on average at a time
+        block = words.where(F.pmod(F.xxhash64("token_norm"), F.lit(n)) == k).agg(F.collect_list("token_norm").alias("ts"))
+        some = (
+            different.join(F.broadcast(block))
+            .select("norm", F.explode(F.filter("ts", lambda t: F.abs(F.length(t) - F.length(norm)) <= allowed(t, norm))).alias("token_norm"))
+            .withColumn("edits", F.levenshtein("token_norm", "norm"))
+            .where(F.col("edits") <= 2 * allowed(F.col("token_norm"), norm))
+        )
+        near = some if near is None else near.unionByName(some)
     most = F.greatest(F.length("token_norm"), F.length("norm"))
     sure = Window.partitionBy("token_norm").orderBy(F.desc("low"), "norm")
     near = near.withColumn("low", 1 - F.col("edits") / most).withColumn("high", 1 - F.ceil(F.col("edits") / 2) / most).withColumn("place", F.row_number().over(sure))

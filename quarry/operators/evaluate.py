@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 10
@@ -49,7 +50,7 @@ def bootstrap_interval(values: list[float], resamples: int = RESAMPLES, seed: in
         m = round(values[0], 3) if values else 0.0
         return m, m
     rng = random.Random(seed)
-    means = sorted(sum(rng.choices(values, k=n)) / n for _ in range(resamples))
+    means = sorted(sum([values[rng.randrange(n)] for _ in range(n)]) / n for _ in range(resamples))
     return round(means[int(0.025 * resamples)], 3), round(means[min(int(0.975 * resamples), resamples - 1)], 3)
 
 
@@ -77,3 +78,39 @@ def difference(now: DataFrame, before: DataFrame) -> DataFrame:
     """query_id, ndcg, baseline, delta of the queries that lost more than EPSILON."""
     both = now.select("query_id", "ndcg").join(before.select("query_id", F.col("ndcg").alias("baseline")), "query_id")
     return both.withColumn("delta", F.col("ndcg") - F.col("baseline")).where(F.col("delta") < -EPSILON)
+
+
+QREL = "query string, lang string, kind string, mode string, relevant map<string,int>"
+
+
+def read_qrels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(queries(query_id, query, lang, kind, mode), qrels(query_id, doc_id, grade)) from JSON lines; blank lines don't count, the mode is relaxed if none is named.
+
+    A query is told by the hash of its line's content, so equal lines are one query.
+    """
+    lines = spark.read.schema(QREL).json(path).where("query IS NOT NULL")
+    lines = lines.withColumn("mode", F.coalesce("mode", F.lit("relaxed"))).withColumn("query_id", F.xxhash64("query", "lang", "kind", "mode")).dropDuplicates(["query_id"])
+    return lines.select("query_id", "query", "lang", "kind", "mode"), lines.select("query_id", F.explode("relevant").alias("doc_id", "grade"))
+
+
+def write_report(segments_: DataFrame, scores: DataFrame, path: str) -> None:
+    """The scorecard and the scores per query as JSON lines, each in its own folder."""
+    segments_.write.mode("overwrite").json(f"{path}/segments")
+    scores.write.mode("overwrite").json(f"{path}/queries")
+
+
+def scorecard(segments_: DataFrame) -> str:
+    """The segments as lines of text, the overall one first; a segment is a row of a report that people read."""
+    rows = sorted(segments_.select("segment", "n", *METRICS).collect(), key=lambda r: (r["segment"] != "overall", r["segment"]))
+    return "\n".join([f"{'segment':24s} {'n':>5s} " + " ".join(f"{m:>8s}" for m in METRICS), *(f"{r['segment']:24s} {r['n']:5d} " + " ".join(f"{r[m]:8.4f}" for m in METRICS) for r in rows)])
+
+
+#: A judge's grade from which an unlabelled hit counts as missing from the labels.
+MISSED = 2
+
+
+def judge_pool(hits: DataFrame, qrels: DataFrame, grade: Callable[[Column, Column], Column], texts: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+    """query_id, doc_id, rank, grade, missed: the unlabelled hits among the top k, graded by a judge(query, text)."""
+    pool = hits.where(F.col("rank") <= k).join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    cards = pool.join(queries.select("query_id", "query"), "query_id").join(texts.select("doc_id", "text"), "doc_id")
+    return cards.withColumn("grade", grade(F.col("query"), F.col("text")).cast("int")).select("query_id", "doc_id", "rank", "grade", (F.col("grade") >= MISSED).alias("missed"))

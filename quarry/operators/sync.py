@@ -1,4 +1,4 @@
-"""Catalog changes as pure functions of DataFrames, and a versioned Parquet store with an atomic pointer."""
+"""Catalog changes as pure functions of DataFrames, and a versioned Parquet store."""
 
 from __future__ import annotations
 
@@ -101,12 +101,20 @@ class SchemaMismatchError(RuntimeError):
     pass
 
 
+class ConcurrentWrite(RuntimeError):
+    pass
+
+
 class Store:
-    """A table of Parquet versions; a pointer file, replaced at the end of each write, names the current one.
+    """A table of Parquet versions; the highest one with a _SUCCESS marker is the current one.
 
-    All files go through Spark's file system, so any store that Spark reads will do.
+    All files go through Spark's file system, so any store that Spark reads will do. One writer at a time: a write that began
+    from a version that is no longer the current one is refused. KEPT versions stay for readers, older ones are removed.
     """
 
+    KEPT = 5
+
+
     def __init__(self, spark: SparkSession, path: str, meta: dict[str, str]):
         self.spark, self.path, self.meta = spark, path.rstrip("/"), meta
         self._jvm = spark.sparkContext._jvm
@@ -123,9 +131,13 @@ class Store:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def version(self) -> str | None:
+        names = self._names()
+        return names[-1] if names else None
+
+    def _names(self) -> list[str]:
+        """The finished versions, the oldest first."""
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(".")) if s.getPath().getName().startswith("v"))
-        done = [n for n in names if self._fs.exists(self._at(f"{n}/_SUCCESS"))]
-        return done[-1] if done else None
+        return [n for n in names if self._fs.exists(self._at(f"{n}/_SUCCESS"))]
 
     def read(self) -> DataFrame:
         version = self.version()
@@ -138,6 +150,11 @@ class Store:
         now = self.version()
         name = f"v{(int(now[1:9]) + 1 if now else 1):08d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.path}/{name}")
+        if sum(n[:9] == name[:9] for n in self._names()) > 1:
+            self._fs.delete(self._at(name), True)
+            raise ConcurrentWrite(f"another writer made version {name[:9]}")
+        for old in [n for n in self._names() if n < name][: 1 - self.KEPT]:
+            self._fs.delete(self._at(old), True)
         return name
 
 
@@ -155,3 +172,37 @@ def evict_jobs(jobs: DataFrame, keep: int = 500) -> DataFrame:
 def reap_jobs(jobs: DataFrame) -> DataFrame:
     stale = F.col("status").isin("pending", "running")
     return jobs.withColumn("error", F.when(stale, "interrupted by a service restart").otherwise(F.col("error"))).withColumn("status", F.when(stale, "failed").otherwise(F.col("status")))
+
+
+class JobStore:
+    """Import jobs in a Store of their own, JOBS at most. What was open when the store is opened has been interrupted."""
+
+    JOBS = 500
+    SCHEMA = "job_id string, filename string, status string, total long, processed long, failed long, errors array<string>, detail string, error string, seq long"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.store = spark, Store(spark, path, {"schema": "jobs-1"})
+        if self.store.version() is None:
+            self.store.write(spark.createDataFrame([], self.SCHEMA))
+        elif not self.list().where(F.col("status").isin("pending", "running")).isEmpty():
+            self._replace([r.asDict() for r in reap_jobs(self.list()).collect()])
+
+    def list(self) -> DataFrame:
+        return self.store.read()
+
+    def get(self, job_id: str) -> dict | None:
+        row = self.list().where(F.col("job_id") == job_id).first()
+        return row.asDict() if row else None
+
+    def _replace(self, rows: list[dict]) -> None:
+        df = self.spark.createDataFrame([tuple(r[c.split()[0]] for c in self.SCHEMA.split(", ")) for r in rows], self.SCHEMA)
+        self.store.write(evict_jobs(df, self.JOBS).coalesce(1))
+
+    def create(self, filename: str) -> str:
+        rows = [r.asDict() for r in self.list().collect()]  # JOBS at most
+        job = {"job_id": uuid.uuid4().hex, "filename": filename, "status": "pending", "total": 0, "processed": 0, "failed": 0, "errors": [], "detail": None, "error": None, "seq": max([r["seq"] for r in rows], default=0) + 1}
+        self._replace([*rows, job])
+        return job["job_id"]
+
+    def save(self, job_id: str, **change) -> None:
+        self._replace([r.asDict() | (change if r["job_id"] == job_id else {}) for r in self.list().collect()])

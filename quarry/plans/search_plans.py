@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 # ---- dense and term retrieval
 
-_Q = "q AS (SELECT doc_id AS query_id, substr(text, 1, 60) AS query FROM documents WHERE doc_id % 100 = 0)"
+_Q = "q AS (SELECT doc_id AS query_id, coalesce(text, '') AS query FROM documents WHERE doc_id % 100 = 0)"
 
 
 def d_terms(x: str) -> str:
@@ -70,7 +70,7 @@ def _dense_hits(spark, sf_dir, k=retrieval.PREFETCH, only=None):
 
 
 def _text_queries(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(spark, sf_dir, "documents").where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def _bm25_hits(spark, sf_dir, k=retrieval.PREFETCH, lang=None):
@@ -151,6 +151,17 @@ def merge_pin_interleave(spark, sf_dir):
     return _merged(spark, sf_dir).select("query_id", "external_id", "score", "branch", "code_score", "rank")
 
 
+@query()
+def merge_whole_cascade(spark, sf_dir):
+    """The merge with the fuzzy tier, under the usual bound between strong and weak hits."""
+    c = catalog(spark, sf_dir)
+    hits = codes.best_per_product(codes.cascade(code_query_tokens(spark, sf_dir), codes.code_index(c)))
+    docs = c.where("status <> 'archived'").select(F.col("external_id").alias("doc_id"), _dense().alias("text"))
+    q = c.where(F.col("p_partkey") % 100 == 0).select(F.col("p_partkey").alias("query_id"), F.col("name").alias("query"))
+    found = retrieval.bm25_topk(q, docs).withColumnRenamed("doc_id", "external_id")
+    return search.merge(hits, found).select("query_id", "external_id", F.round("score", 6).alias("score"), "branch", "matched_field", "code_score", "tier", "rank")
+
+
 @query(f"{_MERGED} SELECT query_id, external_id, rank, total FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM merged) WHERE rank > 5 AND rank <= 15")
 def paginate_total(spark, sf_dir):
     return search.page(_merged(spark, sf_dir), F.lit(5), F.lit(10)).select("query_id", "external_id", "rank", "total")

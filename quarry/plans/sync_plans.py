@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import ready_checkpoints
 from ..functions import text
 from ..operators import enrich, sync
 from ..sources import imports
@@ -128,7 +128,7 @@ def delete_rest(spark, sf_dir):
 
 
 def _snapshot(spark, sf_dir):
-    """What was ordered as the first line of an order, and as many unknown ids."""
+    """The snapshot that is reconciled: what is ordered as a first line of more than 45 pieces, by all orders, and as many unknown ids."""
     line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 45").select("l_partkey")
     return line.union(line.select(F.col("l_partkey") + 1_000_000)).select(F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("external_id"))
 
@@ -156,8 +156,7 @@ SELECT coalesce(l.external_id, s.external_id) AS external_id, coalesce(l.price,
   strftime(coalesce(l.updated_at, s.updated_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM s FULL JOIN last l ON l.external_id = s.external_id""")
 def stream_upsert(spark, sf_dir):
     """The feed as a stream of files into a fresh store in the shared folder; the stored state after it."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-feed-")
-    base = f"{base}/feed-{uuid.uuid4().hex}"
+    base = f"{ready_checkpoints(spark)}/feed-{uuid.uuid4().hex}"
     store = sync.Store(spark, f"{base}/store", {"schema": "1"})
     store.write(catalog(spark, sf_dir).select("external_id", "price", "in_stock", F.lit(START).cast("timestamp").alias("updated_at")))
     _feed(spark, sf_dir).write.parquet(f"{base}/in")
@@ -184,8 +183,6 @@ def _imported(spark, sf_dir):
     rows = _file_rows(spark, sf_dir)
     keyed = rows.withColumnRenamed("row", "__row")
     mapped = imports.map_columns(keyed)
-    # the row number travels as a spilled column and is taken out again
-    mapped = mapped.withColumn("row", F.try_element_at("attr_text", F.lit("__row")).cast("long")).withColumn("attr_text", F.map_filter("attr_text", lambda a, _: a != "__row"))
     return imports.split_valid(imports.checked(mapped))
 
 
@@ -195,7 +192,7 @@ _VALID = "p_partkey % 11 <> 0 AND p_partkey % 13 <> 0 AND p_partkey % 17 <> 0"
 @query(f"WITH {CATALOG} SELECT external_id, name || ' x' AS name, brand, article, ean13, price, currency, in_stock, CAST(size AS VARCHAR) AS size, CASE WHEN p_partkey % 2 = 1 THEN 'red' END AS color FROM catalog WHERE {_VALID}")
 def import_map_rows(spark, sf_dir):
     good, _ = _imported(spark, sf_dir)
-    at = lambda k: F.try_element_at("attr_text", F.lit(k))
+    at = lambda k: F.try_element_at("attributes", F.lit(k))["s"]
     return good.select("external_id", "name", "brand", "article", "ean13", "price", "currency", "in_stock", at("Розмір").alias("size"), at("color").alias("color"))
 
 

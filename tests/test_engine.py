@@ -108,7 +108,120 @@ def test_sheet(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>id</t></si><si><t>x1</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><v>5</v></c></row></sheetData></worksheet>')
     df = imports.read_rows(spark, str(tmp_path / "a.XLSX"))
-    assert df.columns == ["id"] and [tuple(r) for r in df.collect()] == [("x1",)]
+    assert df.columns == ["id"] and [r[0]["s"] for r in df.collect()] == ["x1"]
+
+
+def test_active_sheet_and_its_kinds(spark, tmp_path):
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda cells: f'<worksheet xmlns="{ns}"><sheetData>{cells}</sheetData></worksheet>'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" r:id="rId1"/><sheet name="b" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row><c t="inlineStr"><is><t>wrong</t></is></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet('<row><c t="inlineStr"><is><t>id</t></is></c><c t="inlineStr"><is><t>volt</t></is></c><c t="inlineStr"><is><t>ok</t></is></c></row><row><c><v>7</v></c><c><v>18</v></c><c t="b"><v>1</v></c></row>'))
+    row = imports.map_columns(imports.read_rows(spark, str(tmp_path / "b.xlsx"))).first()
+    assert row["external_id"] == "7" and row["attributes"]["volt"]["n"] == 18.0 and row["attributes"]["ok"]["b"] is True
+
+
+def test_json_attributes_keep_their_kinds(engine, spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": "j1", "name": "one", "attributes": {"voltage": 18, "color": "red", "safe": true}, "Weight": 1.5, "color": "blue"},'
+                                     ' {"id": "j2", "name": "two", "attributes": {"deep": {"a": 1}}}, {"id": 3, "name": "three", "voltage": "18", "price": 5}]', encoding="utf-8")
+    done, bad = engine.import_file(str(tmp_path / "a.json"), ts("2024-01-02 00:00:00"))
+    assert {tuple(r)[:2] for r in done.collect()} == {("j1", True), ("3", True)} and [r["error"] for r in bad.collect()] == ["attributes.deep: not a plain value"]
+    got = {r["external_id"]: {k: (v["t"], v["n"] if v["t"] == "n" else v["b"] if v["t"] == "b" else v["s"]) for k, v in r["attributes"].items()} for r in engine.store.read().where("external_id in ('j1', '3')").collect()}
+    assert got == {"j1": {"voltage": ("n", 18.0), "color": ("s", "red"), "safe": ("b", True), "Weight": ("n", 1.5)}, "3": {"voltage": ("s", "18")}}
+    asked = spark.createDataFrame([(0, "one two three")], "query_id int, query string")
+    assert [r["external_id"] for r in engine.search(asked, filters=Filters(attributes={"voltage": 18})).collect()] == ["j1"]
+
+
+def test_direct_rows_are_checked(engine, spark):
+    rows = [("d1", "  A   b ", "x" * 200, None), (" d2 ", "N", "br", "EAN 40-06"), ("d3", " ", None, None)]
+    report = engine.upsert(spark.createDataFrame(rows, "external_id string, name string, brand string, ean13 string"), ts("2024-01-05 00:00:00"))
+    assert {tuple(r) for r in report.collect()} == {("d1", False, "brand: too long"), ("d2", True, None), ("d3", False, "name: missing")}
+    assert tuple(Engine.summary(report).first()) == (3, 1, 2)
+    assert engine.store.read().where("external_id = 'd2'").select("name", "ean13", "embed_model").first() == ("N", "4006", "hash-64")
+
+
+def test_options_of_each_request(ready, spark):
+    asked = spark.createDataFrame(
+        [(0, "ＧＳＢ－１３－ＲＥ", None, None, None, None), (1, "", None, None, None, None), (2, "bosch vacuum", 1, None, None, None), (3, "bosch vacuum hdmi", None, "strict", None, None), (4, "drill vacuum heater", None, None, 150.0, None), (5, "bosch", None, None, None, "acme")],
+        "query_id int, query string, limit int, mode string, price_min double, brand string",
+    )
+    got = {}
+    for r in ready.search(asked).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    assert [(r["external_id"], r["tier"], r["matched_field"], r["reranked"]) for r in got[0]] == [("p1", "exact", "article", False)]
+    assert 1 not in got and [tuple(r) for r in ready.request_errors(asked).collect()] == [(1, "query: 1 to 512 characters")]
+    assert len(got[2]) == 1 and got[2][0]["total"] >= 2
+    assert {r["bucket"] for r in got[3]} == {"alternatives"} and {r["external_id"] for r in got[4]} == {"p2"}
+    assert {r["external_id"] for r in got[5]} == {"p3"}
+
+
+def test_enrichment_fills_gaps_once_and_variants_cover(spark, tmp_path):
+    answer = '{"normalized_title": "Hot plate", "synonyms": ["cooker"], "attributes": {"Color": "red", "power": "9"}, "use_cases": ["kitchen"], "spec_summary": "warm"}'
+    config = Config(enrich=lambda card: F.when(card.contains("Plate"), F.lit(answer)).otherwise(F.lit("no json")), expand=lambda q: F.lit('{"stove": ["cooker"]}'))
+    e = Engine.open(spark, str(tmp_path / "rich"), config)
+    kinds = "external_id string, name string, attributes map<string,struct<t:string,s:string,n:double,b:boolean>>"
+    e.upsert(spark.createDataFrame([("a", "Plate", {"power": ("n", None, 5.0, None)}), ("b", "Lamp", None)], kinds), ts("2024-01-01 00:00:00"))
+    row = {r["external_id"]: r for r in e.store.read().collect()}
+    assert row["a"]["attributes"]["power"]["n"] == 5.0 and row["a"]["attributes"]["color"]["s"] == "red" and row["a"]["enrichment"]["synonyms"] == ["cooker"] and row["b"]["enrichment"] is None
+    e.config.enrich = lambda card: F.raise_error(F.lit("an unchanged row is not enriched again")).cast("string")
+    e.upsert(spark.createDataFrame([("a", "Plate", {"power": ("n", None, 5.0, None)})], kinds), ts("2024-01-02 00:00:00"))
+    assert e.store.read().where("external_id = 'a'").first()["enrichment"]["spec_summary"] == "warm"
+    got = e.search(spark.createDataFrame([(0, "stove plate")], "query_id int, query string"), strict=True).collect()
+    assert [(r["external_id"], r["bucket"], r["query_coverage"]) for r in got] == [("a", "items", 1.0)]
+
+
+def test_jobs(engine, spark, tmp_path):
+    jobs = sync.JobStore(spark, str(tmp_path / "jobs"))
+    (tmp_path / "a.csv").write_text("id,name\nk1,one\nk2,\n", encoding="utf-8")
+    done = jobs.get(engine.import_job(str(tmp_path / "a.csv"), ts("2024-01-02 00:00:00"), jobs))
+    assert (done["status"], done["total"], done["processed"], done["failed"], done["errors"]) == ("completed", 2, 1, 1, ["row 2: name: missing"])
+    assert jobs.get(engine.import_job("a.txt", ts("2024-01-02 00:00:00"), jobs))["detail"].startswith("Cannot parse file")
+    open_ = jobs.create("later.csv")
+    again = sync.JobStore(spark, str(tmp_path / "jobs"))
+    assert again.get(open_)["status"] == "failed" and again.get(open_)["error"] == "interrupted by a service restart" and again.list().count() == 3
+
+
+def test_labels_reports_and_judged_pool(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"query": "a", "lang": "en", "kind": "text", "relevant": {"x": 3, "y": 1}}\n\n{"query": "b", "lang": "uk", "kind": "code", "mode": "strict", "relevant": {"z": 2}}\n', encoding="utf-8")
+    queries, qrels = evaluate.read_qrels(spark, str(tmp_path / "q.jsonl"))
+    assert {(r["query"], r["mode"]) for r in queries.collect()} == {("a", "relaxed"), ("b", "strict")} and qrels.count() == 3
+    hits = queries.select("query_id", F.explode(F.array(F.struct(F.lit("x").alias("doc_id"), F.lit(1).alias("rank")), F.struct(F.lit("w").alias("doc_id"), F.lit(2).alias("rank")))).alias("h")).select("query_id", "h.*")
+    scores = evaluate.per_query(hits, qrels).join(queries, "query_id")
+    evaluate.write_report(evaluate.segments(scores), scores, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "segments")).count() == 7
+    assert evaluate.scorecard(evaluate.segments(scores)).split("\n")[1].startswith("overall")
+    texts = spark.createDataFrame([("x", "tx"), ("w", "tw")], "doc_id string, text string")
+    pool = evaluate.judge_pool(hits, qrels, lambda q, t: F.when(q == "a", 2).otherwise(1), texts, queries)
+    assert {(r["doc_id"], r["grade"], r["missed"]) for r in pool.collect()} == {("w", 2, True), ("w", 1, False), ("x", 1, False)}
+
+
+def test_filters_of_requests_are_those_of_calls(spark):
+    from quarry.operators import filters
+
+    v = lambda t, s=None, n=None, b=None: (t, s, n, b)
+    products = spark.createDataFrame(
+        [(1, "active", "bosch", "c", 5.0, True, {"k": v("n", n=1.0)}), (2, None, "acme", "d", None, False, {"k": v("b", b=True)}), (3, "archived", None, None, 9.0, None, None), (4, "active", "bosch", "d", 7.0, True, {"k": v("s", "1")})],
+        "id int, status string, brand_norm string, category string, price double, in_stock boolean, attributes map<string,struct<t:string,s:string,n:double,b:boolean>>",
+    )
+    for f in (Filters(), Filters(brand="Bosch"), Filters(brand=""), Filters(price_min=6), Filters(price_max=6.0), Filters(in_stock=False), Filters(attributes={"k": 1}), Filters(attributes={"k": True}), Filters(attributes={"k": "1"}), Filters(include_archived=True, category="d")):
+        want = {r[0] for r in products.where(filters.condition(f)).select("id").collect()}
+        cols = filters.as_columns(f)
+        got = {r[0] for r in products.where(filters.matches(F.struct(*[c.alias(k) for k, c in cols.items()]), F.struct(*filters.PRODUCT))).select("id").collect()}
+        assert got == want, f
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    store = sync.Store(spark, str(tmp_path / "s"), {"schema": "1"})
+    df = spark.range(3).selectExpr("cast(id as string) external_id")
+    for _ in range(8):
+        store.write(df)
+    assert len(store._names()) == store.KEPT and store.read().count() == 3
+    behind = sync.Store(spark, str(tmp_path / "s"), {"schema": "1"})
+    behind.version = lambda: store._names()[-2]
+    with pytest.raises(sync.ConcurrentWrite):
+        behind.write(df)
 
 
 def test_metrics(spark):
