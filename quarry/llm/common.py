@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, ready_checkpoints  # noqa: F401
+
 #: ASCII blanks: space and the five control characters 0x09-0x0D.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -15,24 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir. Where none is set, a local session gets a temporary one; a cluster must name one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        sc.setCheckpointDir(folder)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: written once to the shared folder, lineage ends there."""
-    ready_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     """Array of the runs of non-blank characters."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
