@@ -346,8 +346,10 @@ class Model:
             import pandas as pd
 
             matcher = _matcher(lexicon, spared)
-            split = [words_of(t) for t in texts]
-            out = [features(t, find(t, matcher)) for t in split]
+            out = []
+            for t in texts:  # one text's words at a time
+                words = words_of(t)
+                out.append(features(words, find(words, matcher)))
             x = np.column_stack([np.array(out).reshape(len(out), len(FEATURES)), np.ones(len(out))])
             return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))
 
