@@ -116,6 +116,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
 
 
 def blob_column(parts: list[bytes]) -> pa.Array:

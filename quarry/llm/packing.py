@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a group holds on average, and the groups' worth of loose pieces that meet.
 GROUP_PIECES, EXCHANGE = 16_384, 8
 #: Words whose ids a worker remembers; beyond it the memory starts anew.
-WORD_MEMORY = 1_000_000
+WORD_MEMORY = 400_000
 
 _LETTERS = frozenset(string.ascii_letters)
 _tokenizers: dict = {}
@@ -132,6 +132,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tok: WordTokenizer, capacity: in
                     for c, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

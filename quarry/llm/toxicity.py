@@ -42,7 +42,7 @@ SPAN = 40
 THRESHOLD = 0.7
 FOLDS, HELD_FOLD = 3, 1
 #: Words whose match a worker remembers, and (node, edits) pairs that its automaton holds; beyond it the memory starts anew.
-WORD_MEMORY, PAIR_MEMORY = 200_000, 500_000
+WORD_MEMORY, PAIR_MEMORY = 100_000, 100_000
 EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_=+~`/\\…“”„‘’‚«»‹›¡¿"
 QUOTES = "\"“”„«»‹›"
 FEATURES = ("any_abuse", "abuse", "any_fuzzy", "fuzzy", "density", "quoted")
@@ -350,6 +350,7 @@ class Model:
             for t in texts:  # one text's words at a time
                 words = words_of(t)
                 out.append(features(words, find(words, matcher)))
+            pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
             x = np.column_stack([np.array(out).reshape(len(out), len(FEATURES)), np.ones(len(out))])
             return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))
 
