@@ -3,8 +3,7 @@
 Known licence notices are normalised (case, punctuation, copyright lines, equivalent spellings) and
 hashed. The same normalisation runs over every unit of a document: the entire text, each of its
 paragraphs and each of its lines, taken whole. Units meet the known digests in a hash join; the known side is a fixed list
-(NOTICES, NAMES, TEXTS and LONG_TEXTS, some hundred rows), so it is broadcast. The SQL twin knows NOTICES only, each in
-its own sentence.
+(NOTICES, NAMES, TEXTS and LONG_TEXTS, some hundred rows), so it is broadcast.
 """
 
 from __future__ import annotations
@@ -161,15 +160,20 @@ def headless(canonical: str) -> str:
     return re.sub(HEAD, "under ", canonical)
 
 
-def known_digests(spark: SparkSession, notices: list[tuple[str, bool, str]] | None = None) -> DataFrame:
-    """digest, license, permissive, chars, first (word); one row per distinct canonical notice."""
+def _known(notices: list[tuple[str, bool, str]] | None = None) -> dict[str, tuple[str, bool, int, str]]:
+    """license, permissive, chars and first word by digest, one for each distinct canonical notice."""
     long = [] if notices else LONG_TEXTS
     notices = notices or [*NOTICES, *((name, ok, f"Licensed under {x}") for name, ok, names in NAMES for x in names), *texts()]
     rows = {d: (name, ok, n, first) for d, name, ok, n, first in long}
     for name, ok, t in notices:
         c = headless(canonical_text(t))
         rows[hashlib.sha256(c.encode()).hexdigest()] = (name, ok, len(c), c.split(" ")[0])
-    return spark.createDataFrame([(d, *x) for d, x in sorted(rows.items())], "digest string, license string, permissive boolean, chars int, first string")
+    return rows
+
+
+def known_digests(spark: SparkSession, notices: list[tuple[str, bool, str]] | None = None) -> DataFrame:
+    """digest, license, permissive, chars, first (word); one row per distinct canonical notice."""
+    return spark.createDataFrame([(d, *x) for d, x in sorted(_known(notices).items())], "digest string, license string, permissive boolean, chars int, first string")
 
 
 #: Between paragraphs: lines without letters and digits.
@@ -222,17 +226,21 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
 
 
 def _sql() -> str:
-    t = r"regexp_replace(unit, '^[^\p{L}\n]*(copyright|copr\.|\(c\)|©)[^\n]*$', ' ', 'gim')"
-    t = rf"regexp_replace(lower({t}), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')"
+    plain_ = lambda x: rf"trim(regexp_replace(lower(regexp_replace({x}, '{COPYRIGHT_LINE}', ' ', 'g')), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'))"
+    t = plain_("unit")
     for pattern, by in SPELLINGS:
         t = f"regexp_replace({t}, '{pattern}', '{by.replace('$1', chr(92) + '1')}', 'g')"
-    rows = {hashlib.sha256(canonical_text(t2).encode()).hexdigest(): (n, ok) for n, ok, t2 in NOTICES}
-    values = ", ".join(f"('{d}', '{n}', {ok})" for d, (n, ok) in sorted(rows.items()))
+    t = f"regexp_replace(trim(regexp_replace({t}, ' +', ' ', 'g')), '{HEAD}', 'under ')"
+    values = ", ".join(f"('{d}', '{name}', {ok})" for d, (name, ok, _, _) in sorted(_known().items()))
+    between = BETWEEN.replace(r"\n", "\n")
     return f"""
 WITH k(digest, license, permissive) AS (VALUES {values}),
+b AS (SELECT doc_id, string_split_regex(text, '{between}') AS ps FROM documents WHERE contains(text, chr(10))),
+g AS (SELECT doc_id, unnest(ps) AS unit FROM b WHERE len(ps) > 1),
 u AS (SELECT doc_id, true AS whole, coalesce(text, '') AS unit FROM documents
-  UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))),
-h AS (SELECT doc_id, whole, sha256(trim(regexp_replace({t}, ' +', ' ', 'g'))) AS digest FROM u),
+  UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents WHERE contains(text, chr(10))
+  UNION ALL SELECT doc_id, false, unit FROM g WHERE contains(trim(unit, chr(10)), chr(10)) AND len(list_filter(string_split(unit, chr(10)), lambda x: {plain_('x')} <> '')) > 1),
+h AS (SELECT doc_id, whole, sha256({t}) AS digest FROM u),
 f AS (SELECT doc_id, count(*) AS n_notices, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, max(whole) AS whole_text, min(permissive) AS ok
   FROM h JOIN k USING (digest) GROUP BY 1)
 SELECT i.doc_id, coalesce(n_notices, 0) AS n_notices, coalesce(licenses, '') AS licenses, coalesce(whole_text, false) AS whole_text,
