@@ -43,7 +43,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Toxicity scores and token ids can't be had from SQL; tests hold the pipeline against brute force.
+#: Toxicity scores and token ids can't be had from SQL; tests hold the pipeline's rows against plain Python.
 ORACLE_SQL = None
 
 
