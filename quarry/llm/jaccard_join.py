@@ -47,7 +47,7 @@ SUMMARY = 1 << 16
 #: Sets, and shingles, that a block holds on average.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
 #: Rows that are put into one tree, and bytes of their bitmaps or shingles.
-TREE_ROWS, TREE_BYTES = 8192, 64 << 20
+TREE_ROWS, TREE_BYTES = 4096, 16 << 20
 LEAF, FAN = 32, 8
 #: Bytes of bitmaps or shingles that a task reads on average.
 TASK_BYTES = 128 << 20
@@ -318,7 +318,12 @@ def _trees(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
 
 
 def _payloads(t: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in t["payload"].to_pylist()]
+    """Each row's payload, in place."""
+    column = t["payload"].combine_chunks()
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = np.frombuffer(data, np.uint8)
+    return [raw[a:b].view(np.uint64) for a, b in zip(at, at[1:])]
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
