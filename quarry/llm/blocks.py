@@ -69,12 +69,12 @@ class Words:
         h = (sums[self.end] - sums[self.start]) * inverse[self.start]
         self.hash = mix64(h + (self.end - self.start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Start (word number) and hash of every window of so many words within one document."""
+    def windows(self, size: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Start (word number) and hash of every window of so many words within one document; of: other hashes of the words."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        have, width = self.hash, 1
+        have, width = self.hash if of is None else of, 1
         done, at = None, 0
         rest = size
         while True:

@@ -7,11 +7,11 @@ smaller id, or earlier in the same document.
 2. Anchors: windows of 8 words are hashed only at positions whose remainder modulo 13 is in the
    difference cover {0, 1, 3, 9}. For any two positions there is a shift below 13 that takes both into
    the cover, so two equal windows of 20 words share an aligned anchor of 8 inside them. A page deals each
-   of its different anchors once to a bucket, and the bucket answers with one bit each: does another
-   page have it?
+   of its different anchors once to a bucket, as 32 bits, and the bucket answers with one bit each: does
+   another page have it? An accidental yes costs a few windows dealt for nothing, never a word.
 3. Extension: only windows around a shared anchor are hashed whole and dealt, once per page and
    different window, with the page's earliest place of it. The bucket answers with the places that
-   are not the earliest of all.
+   are not the earliest of all. Windows are told apart by 96 bits mixed from BLAKE2 digests of their words.
 4. Pages mark the words under those windows and give what is left.
 
 A page deals every different anchor or window once however often it occurs, so no bucket holds more
@@ -42,6 +42,9 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Pages whose anchors one bucket takes on average.
 PAGES_PER_BUCKET = 20
 
+#: Words that are split and digested at once.
+WORDS_AT_ONCE = 1 << 16
+
 _U = np.uint64
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
@@ -57,6 +60,14 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number += 1
 
 
+class _Digests(dict):
+    """Words to their 16 byte digests."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return digest
+
+
 class Page:
     """A staged page: ids (the smallest long for a null), which are not null, and the words."""
 
@@ -78,6 +89,27 @@ class Page:
         keep = _IN_COVER[(at - self.words.first[self.doc_of(at)]) % PERIOD]
         return at[keep], h[keep]
 
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and 64 and 32 bits of fingerprint of each window."""
+        words, known, parts = self.words, _Digests(), []
+        for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+            for a in range(i, j, WORDS_AT_ONCE):
+                some = self.text[words.start[a] : words.end[min(a + WORDS_AT_ONCE, j) - 1]].split()
+                parts.append(b"".join(map(known.__getitem__, some)))
+                if len(known) > WORDS_AT_ONCE:
+                    known.clear()
+        lanes = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
+        del known, parts
+        start, h = words.windows(WINDOW, np.ascontiguousarray(lanes[:, 0]))
+        return start, h, words.windows(WINDOW, np.ascontiguousarray(lanes[:, 1]))[1].astype(np.uint32)
+
+
+def _groups(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """For sorted fingerprints, the place of the first of each one's equals."""
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (tail[1:] != tail[:-1])
+    return np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+
 
 def _by_bucket(h: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
     """Places of the hashes, in their order, for each bucket that has any; the work does not grow with the buckets."""
@@ -99,7 +131,7 @@ def _deal_anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
     for batch in batches:
         for number, blob in zip(batch.column(0).to_pylist(), batch.column(2)):
             h = np.unique(Page(blob.as_py()).anchors()[1])
-            yield _dealt([(b, number, 0, h[own].tobytes()) for b, own in _by_bucket(h, buckets).items()])
+            yield _dealt([(b, number, 0, h[own].astype(np.uint32).tobytes()) for b, own in _by_bucket(h, buckets).items()])
 
 
 def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -127,7 +159,7 @@ def _replies(rows: list[tuple]) -> pa.RecordBatch:
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per page, the bucket number and a bit for each anchor dealt: another page has it too."""
     for bucket, rows in _bucket_rows(batches):
-        parts = [np.frombuffer(x, np.uint64) for _, _, x in rows]
+        parts = [np.frombuffer(x, np.uint32) for _, _, x in rows]
         every = np.sort(np.concatenate(parts))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
@@ -169,18 +201,16 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         marks = np.zeros(len(page.words.hash) + 1, np.int64)
         marks[at[shared[back]] + 1] = 1
         marks = np.cumsum(marks)
-        start, wh = page.words.windows(WINDOW)
+        start, wh, wt = page.fingerprints()
         near = marks[np.minimum(start + PERIOD, len(marks) - 1)] > marks[start]  # an anchor that lies inside the window
-        start, wh = start[near], wh[near]
+        start, wh, wt = start[near], wh[near], wt[near]
         doc = page.doc_of(start)
         ids, place = page.ids[doc], start - page.words.first[doc]
-        order = np.lexsort((place, ids, wh))
+        order = np.lexsort((place, ids, wt, wh))
         if not len(order):
             continue
-        s_h, s_id, s_at = wh[order], ids[order], place[order]
-        first = np.ones(len(order), bool)
-        first[1:] = s_h[1:] != s_h[:-1]
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        s_id, s_at = ids[order], place[order]
+        lead = _groups(wh[order], wt[order])
         tied = (s_id == s_id[lead]) & (s_at == s_at[lead])  # the lead, and rows that repeat its id
         rows = []
         if not tied.all():  # repeats within the page need no bucket
@@ -190,7 +220,7 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         for b, at_b in _by_bucket(lh, buckets).items():
             own = lead_at[at_b]
             small = np.concatenate([np.diff(x[own], prepend=0) for x in (start, ids, place)])
-            rows.append((b, number, 0, np.int64(len(own)).tobytes() + wh[own].tobytes() + zip_.compress(small.astype(np.int64).tobytes())))
+            rows.append((b, number, 0, np.int64(len(own)).tobytes() + wh[own].tobytes() + wt[own].tobytes() + zip_.compress(small.astype(np.int64).tobytes())))
         yield _dealt(rows)
 
 
@@ -199,20 +229,18 @@ def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     unzip = zstandard.ZstdDecompressor()
     for _, rows in _bucket_rows(batches):
         out = [(page, 1, blob) for page, kind, blob in rows if kind == 1]
-        hs, starts, ids, places, pages = [], [], [], [], []
+        hs, tails, starts, ids, places, pages = [], [], [], [], [], []
         for page, kind, blob in rows:
             if kind == 0:
                 n = int(np.frombuffer(blob, np.int64, 1)[0])
-                hs.append(np.frombuffer(blob, np.uint64, n, 8))
-                small = np.frombuffer(unzip.decompress(blob[8 + 8 * n :]), np.int64).reshape(3, n).cumsum(axis=1)
+                hs.append(np.frombuffer(blob, np.uint64, n, 8)), tails.append(np.frombuffer(blob, np.uint32, n, 8 + 8 * n))
+                small = np.frombuffer(unzip.decompress(blob[8 + 12 * n :]), np.int64).reshape(3, n).cumsum(axis=1)
                 starts.append(small[0]), ids.append(small[1]), places.append(small[2]), pages.append(np.full(n, page))
         if hs:
-            h, at, id_, place, page = map(np.concatenate, (hs, starts, ids, places, pages))
-            order = np.lexsort((place, id_, h))
-            h, at, id_, place, page = h[order], at[order], id_[order], place[order], page[order]
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+            h, tail, at, id_, place, page = map(np.concatenate, (hs, tails, starts, ids, places, pages))
+            order = np.lexsort((place, id_, tail, h))
+            at, id_, place, page = at[order], id_[order], place[order], page[order]
+            lead = _groups(h[order], tail[order])
             later = np.flatnonzero((id_ > id_[lead]) | ((id_ == id_[lead]) & (place > place[lead])))
             by_page = later[np.argsort(page[later], kind="stable")]
             cuts = np.flatnonzero(np.diff(page[by_page])) + 1
@@ -250,7 +278,7 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
-    Windows are judged on the input. Equal windows are told by 64-bit hashes. A null text has no words;
+    Windows are judged on the input. Equal windows are told by 96 bits. A null text has no words;
     rows with a null id count as one document before all others; rows that repeat an id don't remove
     each other's words at equal places, as neither starts earlier. An empty table gives an empty result.
     """

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import exact_dedup, jaccard_join, licenses, mixing, packing, quality_net, quality_rules, sharding, substring_dedup, toxicity
+from quarry.llm.blocks import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,6 +78,29 @@ def test_rows_that_repeat_an_id_lose_a_passage_of_another_page(spark):
     assert sorted(tuple(r) for r in substring_dedup.drop_repeats(docs).collect()) == brute_repeats(rows)
 
 
+def test_windows_with_words_of_equal_polynomial_hash_differ(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    both = Words(np.frombuffer(f"{a} {b}".encode(), np.uint8), np.array([0, 2 * len(a) + 1]))
+    assert a != b and both.hash[0] == both.hash[1]
+    rest = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, f"{rest} {a} {rest}"), (2, f"{rest} {b} {rest}"), (3, f"{b} {rest}")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring_dedup.drop_repeats(docs).collect()) == brute_repeats(rows)
+
+
+def test_substring_dedup_of_texts_beyond_a_slice(spark):
+    rng = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(50))
+    long = " ".join(rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(50_000)) for _ in range(130_000)) + " " + passage
+    assert len(long) > 1 << 20
+    rows = [(4, long), (2, "x " + passage), (7, long[:300_000]), (9, None), (8, passage + " " + passage)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id long, text string")
+    assert sorted(tuple(r) for r in substring_dedup.drop_repeats(docs).collect()) == brute_repeats(rows)
+
+
 def test_difference_cover():
     differences = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
     assert differences == set(range(substring_dedup.PERIOD))
