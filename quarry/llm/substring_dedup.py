@@ -89,19 +89,28 @@ class Page:
         keep = _IN_COVER[(at - self.words.first[self.doc_of(at)]) % PERIOD]
         return at[keep], h[keep]
 
-    def fingerprints(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word and 64 and 32 bits of fingerprint of each window."""
-        words, known, parts = self.words, _Digests(), []
-        for i, j in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+    def fingerprints(self, chosen: np.ndarray, known: _Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word and 64 and 32 bits of fingerprint of the chosen ones of all windows; only their words are digested."""
+        words = self.words
+        start = words.windows(WINDOW)[0][chosen]
+        change = np.zeros(len(words.hash) + 1, np.int64)
+        change[start] += 1
+        change[start + WINDOW] -= 1
+        covered = np.concatenate([[False], np.cumsum(change)[:-1] > 0, [False]])
+        edges = np.flatnonzero(covered[1:] != covered[:-1])
+        edges = np.union1d(edges, words.first[:-1][covered[1:][words.first[:-1]]]) if len(edges) else edges  # no run spans documents
+        lanes = np.zeros((len(words.hash), 2), np.uint64)
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if not covered[i + 1]:
+                continue
             for a in range(i, j, WORDS_AT_ONCE):
-                some = self.text[words.start[a] : words.end[min(a + WORDS_AT_ONCE, j) - 1]].split()
-                parts.append(b"".join(map(known.__getitem__, some)))
+                z = min(a + WORDS_AT_ONCE, j)
+                some = self.text[words.start[a] : words.end[z - 1]].split()
+                lanes[a:z] = np.frombuffer(b"".join(map(known.__getitem__, some)), np.uint64).reshape(-1, 2)
                 if len(known) > WORDS_AT_ONCE:
                     known.clear()
-        lanes = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-        del known, parts
-        start, h = words.windows(WINDOW, np.ascontiguousarray(lanes[:, 0]))
-        return start, h, words.windows(WINDOW, np.ascontiguousarray(lanes[:, 1]))[1].astype(np.uint32)
+        head, tail = (words.windows(WINDOW, np.ascontiguousarray(lanes[:, k]))[1][chosen] for k in (0, 1))
+        return start, head, tail.astype(np.uint32)
 
 
 def _groups(h: np.ndarray, tail: np.ndarray) -> np.ndarray:
@@ -187,7 +196,7 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes,
 
 
 def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    zip_ = zstandard.ZstdCompressor(level=1)
+    zip_, known = zstandard.ZstdCompressor(level=1), _Digests()
     for number, blob, replies in _page_rows(batches):
         page = Page(blob)
         at, h = page.anchors()
@@ -201,9 +210,9 @@ def _deal_windows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[p
         marks = np.zeros(len(page.words.hash) + 1, np.int64)
         marks[at[shared[back]] + 1] = 1
         marks = np.cumsum(marks)
-        start, wh, wt = page.fingerprints()
+        start = page.words.windows(WINDOW)[0]
         near = marks[np.minimum(start + PERIOD, len(marks) - 1)] > marks[start]  # an anchor that lies inside the window
-        start, wh, wt = start[near], wh[near], wt[near]
+        start, wh, wt = page.fingerprints(near, known)
         doc = page.doc_of(start)
         ids, place = page.ids[doc], start - page.words.first[doc]
         order = np.lexsort((place, ids, wt, wh))
