@@ -6,6 +6,7 @@ runs of bytes other than 0x20 and 0x09-0x0D; UTF-8 never uses these bytes inside
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Workers live on: what a batch took, in Arrow and in numpy, goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 class Words:
     """The words of a run of documents: byte ranges, hashes and the first word of each document."""
 
@@ -116,7 +127,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
-    pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
+    del data, offsets
+    give_back()
 
 
 def blob_column(parts: list[bytes]) -> pa.Array:

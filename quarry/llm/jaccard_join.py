@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, mix64, slices
+from .blocks import Words, give_back, mix64, slices
 from .common import cut, small
 from .packing import _groups
 
@@ -310,11 +310,14 @@ def _trees(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Tab
         if held and (rows + len(first) > TREE_ROWS or size + t.nbytes > TREE_BYTES):
             yield pa.concat_tables(held), np.repeat(np.arange(len(number)), number)
             held, rows, size, number = [], 0, 0, []
+            give_back()
         held.append(t)
         number.append(len(first))
         rows, size = rows + len(first), size + t.nbytes
     if held:
         yield pa.concat_tables(held), np.repeat(np.arange(len(number)), number)
+    del held
+    give_back()
 
 
 def _payloads(t: pa.Table) -> list[np.ndarray]:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import cut, parts_for
 
 CAPACITY = 4096
@@ -32,11 +33,10 @@ END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a group holds on average, and the groups' worth of loose pieces that meet.
 GROUP_PIECES, EXCHANGE = 16_384, 8
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Words whose ids a task remembers; beyond it the memory starts anew.
 WORD_MEMORY = 400_000
 
 _LETTERS = frozenset(string.ascii_letters)
-_tokenizers: dict = {}
 
 
 def vocabulary_path() -> str:
@@ -109,14 +109,14 @@ def _gaps(x: list) -> list[int]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tok = _tokenizers.get(path) or _tokenizers.setdefault(path, WordTokenizer(path))
     collecting = gc.isenabled()
     gc.disable()  # nothing here makes reference cycles, and the collector would walk the word memory again and again
     try:
-        yield from _encoded(batches, tok, capacity)
+        yield from _encoded(batches, WordTokenizer(path), capacity)  # gone with the task: workers live on and do other work
     finally:
         if collecting:
             gc.enable()
+        give_back()
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tok: WordTokenizer, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], tok: WordTokenizer, capacity: in
                     for c, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
+        give_back()
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .sampling import fold, labelled_sample
 
 #: Labelled documents of either class that the fit reads.
@@ -350,7 +351,7 @@ class Model:
             for t in texts:  # one text's words at a time
                 words = words_of(t)
                 out.append(features(words, find(words, matcher)))
-            pa.default_memory_pool().release_unused()  # workers live on: what a batch took goes back to the system
+            give_back()
             x = np.column_stack([np.array(out).reshape(len(out), len(FEATURES)), np.ones(len(out))])
             return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -40, 40))))
 
