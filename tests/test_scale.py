@@ -68,3 +68,46 @@ def test_dense_blocks_ties_and_plan(spark, monkeypatch):
                 expected[q, r] = (d, round(s[d], 6))
     assert {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 6)) for r in hits.collect()} == expected
     assert "MapInArrow" in plan(hits) and "NestedLoop" not in plan(hits)
+
+
+def test_near_codes_against_every_pair(monkeypatch):
+    from quarry.functions.similarity import osa_distance, osa_similarity
+    from quarry.operators import near_codes
+
+    rng = random.Random(1)
+    for alphabet in ("ab", "abc1", "01234567"):
+        for pairs in (50, 1 << 17):
+            monkeypatch.setattr(near_codes, "PAIRS", pairs)
+            draw = lambda n: sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(n)})
+            codes, tokens = draw(120), [*draw(20), "zü𝔸1"]
+            tree = near_codes.Tree(codes)
+            for radius in range(4):
+                got = {(int(t), int(s), int(d)) for x in tree.walk(*near_codes.characters(tokens), np.arange(len(tokens)), radius) for t, s, d in zip(*x)}
+                assert got == {(i, j, osa_distance(a, b)) for i, a in enumerate(tokens) for j, b in enumerate(codes) if osa_distance(a, b) <= radius}
+            for top in (1, 5):
+                got = {(int(t), int(s)) for x in near_codes.nearest(tree, tokens, 0.72, top) for t, s, _ in zip(*x)}
+                best_ = {i: sorted((-round(osa_similarity(a, b), 9), j) for j, b in enumerate(codes) if osa_similarity(a, b) >= 0.72 - 1e-12)[:top] for i, a in enumerate(tokens)}
+                assert got == {(i, j) for i, xs in best_.items() for _, j in xs}
+
+
+def test_fuzzy_blocks_radii_and_plan(spark, monkeypatch):
+    from quarry.functions.similarity import jaro_winkler, osa_similarity
+    from quarry.operators import codes
+
+    rng = random.Random(2)
+    norms = sorted({"".join(rng.choice("0123") for _ in range(rng.choice((8, 9, 13)))) for _ in range(600)})
+    tokens = ["".join(rng.choice("0123") for _ in range(rng.choice((8, 13)))) for _ in range(12)] + ["9" * 8]
+    monkeypatch.setattr(codes, "TOKEN_BLOCK", 5)
+    monkeypatch.setattr(codes, "FIRST_RADIUS", 1)
+    c = spark.createDataFrame([(f"p{i}", "article", 0, n) for i, n in enumerate(norms)], "external_id string, field string, pos int, norm string")
+    t = spark.createDataFrame([(i, 0, x) for i, x in enumerate(tokens)], "query_id long, token_pos int, token_norm string")
+    hits = codes.fuzzy(t, c)
+    expected = {}
+    for i, a in enumerate(tokens):
+        near = sorted((-round(osa_similarity(a, b), 9), b) for b in norms if osa_similarity(a, b) >= codes.CUTOFF - 1e-12)[: codes.TOP]
+        for s, b in near:
+            raw = 0.6 * osa_similarity(a, b) + 0.4 * jaro_winkler(a, b) - min(0.02 * abs(len(a) - len(b)), 0.10)
+            if raw >= codes.THRESHOLD:
+                expected[i, b] = round(min(raw, codes.FUZZY_CAP), 4)
+    assert expected and {(r["query_id"], r["norm"]): pytest.approx(r["score"], abs=1.1e-4) for r in hits.collect()} == expected
+    assert "NestedLoop" not in plan(hits) and "Cartesian" not in plan(hits)
