@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def check_digit(digits12: Column) -> Column:
+def _total(digits12: Column) -> Column:
     """Weights 1 and 3 in turn over the first 12 digits."""
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda s, i: s + F.substring(digits12, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 1).otherwise(3))
-    return ((10 - total % 10) % 10).cast("string")
+    figure = lambda i: F.substring(digits12, i, 1).cast("int") * (1 if i % 2 == 1 else 3)
+    return sum((figure(i) for i in range(2, 13)), figure(1))
+
+
+def check_digit(digits12: Column) -> Column:
+    return ((10 - _total(digits12) % 10) % 10).cast("string")
 
 
 def is_valid(c: Column) -> Column:
@@ -17,7 +21,25 @@ def is_valid(c: Column) -> Column:
 
 
 def correction_candidates(c: Column) -> Column:
-    """Valid numbers one wrong digit or one swap of neighbours away: by place and digit, swaps last."""
+    """Valid numbers one wrong digit or one swap of neighbours away: by place and digit, swaps last.
+
+    13 digits have one right digit at each place (weights 1 and 3 have inverses modulo 10), so no wrong ones are made and checked.
+    """
+    off = F.pmod(_total(c) + F.substring(c, 13, 1).cast("int"), F.lit(10))
+    digit = lambda i: F.substring(c, i, F.lit(1)).cast("int")
+    odd = lambda i: i % 2 == 1
+
+    def right(e: Column) -> Column:
+        fixed = F.transform(F.sequence(F.lit(1), F.lit(13)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.pmod(digit(i) - e * F.when(odd(i), 1).otherwise(7), F.lit(10)).cast("string"), F.substring(c, i + 1, F.lit(13))))
+        fits = F.filter(F.sequence(F.lit(1), F.lit(12)), lambda i: (digit(i) != digit(i + 1)) & (F.pmod(e + (digit(i + 1) - digit(i)) * F.when(odd(i), -2).otherwise(2), F.lit(10)) == 0))
+        swapped = F.transform(fits, lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, F.lit(13))))
+        return F.concat(F.when(e != 0, fixed).otherwise(F.array().cast("array<string>")), swapped)
+
+    return F.when(c.rlike("^[0-9]{13}$"), F.flatten(F.transform(F.array(off), right))).otherwise(_checked_candidates(c))
+
+
+def _checked_candidates(c: Column) -> Column:
+    """The same of any text: every digit at every place and every swap, checked."""
     places = F.sequence(F.lit(1), F.lit(13))
     figures = F.sequence(F.lit(0), F.lit(9))
     changed = F.flatten(F.transform(places, lambda i: F.transform(figures, lambda d: F.concat(F.substring(c, F.lit(1), i - 1), d.cast("string"), F.substring(c, i + 1, F.lit(13))))))
