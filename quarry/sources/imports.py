@@ -206,6 +206,7 @@ def checked(mapped: DataFrame) -> DataFrame:
     errors = F.array_compact(F.array(*bad))
     if "attribute_errors" in df.columns:
         errors = F.concat(errors, "attribute_errors")
+    errors = F.when(F.monotonically_increasing_id() >= 0, errors)  # always; keeps filters on errors from repeating all of the above below it
     flag: Column = F.when(stock.isin(*TRUE), True).when(stock.isin(*FALSE), False).when(stock.isNull(), True)
     return df.withColumn("errors", errors).withColumn("price", price).withColumn("in_stock", flag).drop("attribute_errors")
 

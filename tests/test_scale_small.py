@@ -26,3 +26,13 @@ def test_judgements_of_groups_equal_those_of_pairs(spark):
     rows = lambda df: {r[0]: tuple(round(x, 9) for x in r[1:]) for r in df.collect()}
     grouped = evaluate.per_query_of_groups(h, q, m)
     assert rows(grouped) == rows(evaluate.per_query(h, q.join(m, "group").select("query_id", "doc_id", "grade"))) and len(rows(grouped)) == 25
+
+
+def test_rows_are_checked_once(spark):
+    from quarry.sources import imports
+
+    rows = spark.createDataFrame([(1, "a", " n  m ", "12", "x"), (2, None, "n", "1", "y"), (3, "c", " ", "z", "")], "__row long, id string, name string, `ціна` string, brand string")
+    good, bad = imports.split_valid(imports.checked(imports.map_columns(rows)))
+    assert [(r["external_id"], r["name"], r["price"]) for r in good.collect()] == [("a", "n m", 12.0)]
+    assert [tuple(r) for r in bad.collect()] == [(2, "external_id: missing"), (3, "name: missing; price: not a number")]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 5
